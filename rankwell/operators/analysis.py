@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.functions.text import lower, positioned, query_chunks, remove_stopwords, tokenize
+from rankwell.operators.postings import token_rows
 from rankwell.operators.synonyms import SynonymRules, expand_synonyms
 
 CHAINS = ("standard", "nostop", "synonym")
@@ -37,11 +38,6 @@ def analyze(
     )
 
 
-def token_rows(analyzed: DataFrame, *keep: str) -> DataFrame:
-    """One row per token: the ``keep`` columns, ``pos`` and ``term``."""
-    return analyzed.select(*keep, F.inline("tokens"))
-
-
 def chunk_rows(queries: DataFrame) -> DataFrame:
     """``(query_ord, chunk, text)``: the whitespace-separated pieces of each body, keyed by the query's ordinal."""
     return queries.select(F.col("ord").alias("query_ord"), F.posexplode(query_chunks("body")).alias("chunk", "text"))

@@ -40,12 +40,20 @@ def analyzed_chunks(
 
 
 def valid_queries(
-    queries: DataFrame, chain: str = "standard", synonyms: SynonymRules | DataFrame | None = None
+    queries: DataFrame,
+    chain: str = "standard",
+    synonyms: SynonymRules | DataFrame | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
-    """Queries that get a result line. Bodies that analyse to nothing stay (they find nothing); malformed ones and
-    those with more than 1,024 clauses, or as many words in one clause, go."""
+    """Queries that get a result line.
+
+    Bodies that analyse to nothing stay (they find nothing); malformed ones and those with more than 1,024 clauses, or
+    as many words in one clause, go. ``longest``: the longest body, if known.
+    """
     well_formed = queries.filter(valid_query("body"))
     # A clause takes at least a character and a separator, so short bodies need no count.
+    if longest is not None and longest <= 2 * MAX_CLAUSES:
+        return well_formed
     long_bodies = well_formed.filter(F.length("body") > 2 * MAX_CLAUSES)
     sizes = (
         analyzed_chunks(long_bodies, chain, synonyms)
@@ -101,21 +109,22 @@ def boolean_match(clauses: DataFrame, matches: DataFrame) -> DataFrame:
     ``clauses(query_ord, chunk, occur)`` lists every clause, ``matches(query_ord, chunk, ord)`` the documents each
     one's terms are in (repeats allowed).
     """
-    needed = clauses.groupBy("query_ord").agg(F.count_if(F.col("occur") == MUST).alias("musts"))
-    return keep_by_occur(
-        matches.select("query_ord", "chunk", "ord").distinct().join(clauses, ["query_ord", "chunk"]), needed
-    ).select("query_ord", "ord")
+    query = Window.partitionBy("query_ord")
+    needed = clauses.select(
+        "query_ord", "chunk", "occur", F.sum((F.col("occur") == MUST).cast("int")).over(query).alias("musts")
+    )
+    hits = matches.select("query_ord", "chunk", "ord").distinct().join(needed, ["query_ord", "chunk"])
+    return keep_by_occur(hits).select("query_ord", "ord")
 
 
-def keep_by_occur(chunk_matches: DataFrame, needed: DataFrame, *aggregates: Column) -> DataFrame:
+def keep_by_occur(chunk_matches: DataFrame, *aggregates: Column) -> DataFrame:
     """Fold one row per (query, document, matched clause) into one per kept (query, document).
 
-    Kept: all ``musts`` matched, no must-not, and some clause that scores.
+    Kept: all ``musts`` of the query matched, no must-not, and some clause that scores.
     """
     hit = {occur: F.count_if(F.col("occur") == occur) for occur in (MUST, SHOULD, MUST_NOT)}
     return (
         chunk_matches.groupBy("query_ord", "ord")
-        .agg(*(count.alias(f"n_{occur}") for occur, count in hit.items()), *aggregates)
-        .join(needed, "query_ord")
+        .agg(*(count.alias(f"n_{occur}") for occur, count in hit.items()), F.first("musts").alias("musts"), *aggregates)
         .filter((F.col("n_must_not") == 0) & (F.col("n_must") == F.col("musts")) & (F.col("n_must") + F.col("n_should") > 0))
     )

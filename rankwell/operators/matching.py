@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.functions.scoring import VSM, clause_score, length_norm, resolve_similarity, vsm_idf
@@ -18,16 +18,21 @@ def with_stats(terms: DataFrame, term_stats: DataFrame, collection_stats: DataFr
     The statistics meet the short query side, before the match: matched postings then need no further lookup. The
     collection has one row per field.
     """
-    words = terms.select("field", "term").distinct()
-    known = term_stats.join(F.broadcast(words) if small else words, ["field", "term"], "left_semi")
+    if not small:
+        term_stats = term_stats.join(terms.select("field", "term").distinct(), ["field", "term"], "left_semi")
     return (
-        terms.join(F.broadcast(known) if small else known, ["field", "term"], "left")
+        terms.join(F.broadcast(_known(terms, term_stats)) if small else term_stats, ["field", "term"], "left")
         .withColumn("df", F.coalesce("df", F.lit(0)))
         .withColumn("ttf", F.coalesce("ttf", F.lit(0)))
         .join(F.broadcast(collection_stats), "field")
     )
 
 
+def _known(terms: DataFrame, term_stats: DataFrame) -> DataFrame:
+    """Statistics of the query terms alone: no more rows than there are query terms."""
+    return term_stats.join(F.broadcast(terms.select("field", "term").distinct()), ["field", "term"], "left_semi")
+
+
 def match(terms: DataFrame, postings: DataFrame, small: bool) -> DataFrame:
     """Equi-join of weighted query terms and postings on the term; any shared term is a match.
 
@@ -58,45 +63,53 @@ def score_terms(
 ) -> DataFrame:
     """``(query_ord, ord, score)`` when every clause is a should and nothing but the terms matters.
 
-    A term that a query holds several times is looked up once and counted ``qtf`` times. Postings spread by ``ord``
-    (a lazy or a bucketed index) are summed where they are.
+    ``terms(query_ord, term, qtf, statistics)``: a term that a query holds several times is looked up once and counted
+    ``qtf`` times. Postings spread by ``ord`` (a lazy or a bucketed index) are summed where they are.
     """
-    statistics = [F.first(name).alias(name) for name in ("df", "ttf", "max_doc", "sum_ttf", "avgdl")]
-    weighted = terms.groupBy("query_ord", "term").agg(F.count(F.lit(1)).alias("qtf"), *statistics)
-    scored = _scored(match(weighted, postings, small), resolve_similarity(sim), norms, params)
+    scored = _scored(match(terms, postings, small), resolve_similarity(sim), norms, params)
     return scored.groupBy("query_ord", "ord").agg(F.sum(F.col("clause") * F.col("qtf")).alias("score"))
 
 
-def query_shapes(terms: DataFrame) -> DataFrame:
-    """Per query: number of musts, number of scoring chunks, and the tf-idf query norm."""
+def with_shapes(terms: DataFrame) -> DataFrame:
+    """Add what a clause must know of its query: positions in its chunk (``width``), scoring chunks (``chunks``), must
+    chunks (``musts``) and the tf-idf ``query_norm``, which counts repeats and terms that no document holds."""
+    query = Window.partitionBy("query_ord")
+    scores = F.col("occur") != MUST_NOT
     idf = vsm_idf(F.col("df"), F.col("max_doc"))
-    scoring = F.col("occur") != MUST_NOT
-    chunk = terms.groupBy("query_ord", "chunk", "occur").agg(F.sum(idf * idf).alias("squares"))
-    return chunk.groupBy("query_ord").agg(
-        F.count_if(F.col("occur") == MUST).alias("musts"),
-        F.count_if(scoring).alias("chunks"),
-        (1.0 / F.sqrt(F.sum(F.when(scoring, F.col("squares"))))).alias("query_norm"),
+    distinct = lambda when, what: F.size(F.collect_set(F.when(when, F.col(what))).over(query))
+    return terms.select(
+        "*",
+        F.size(F.collect_set("pos").over(Window.partitionBy("query_ord", "chunk"))).alias("width"),
+        distinct(scores, "chunk").alias("chunks"),
+        distinct(F.col("occur") == MUST, "chunk").alias("musts"),
+        (1.0 / F.sqrt(F.sum(F.when(scores, idf * idf)).over(query))).alias("query_norm"),
     )
 
 
 def score_clauses(
-    terms: DataFrame, postings: DataFrame, sim: int, small: bool, norms: str = "quantized", **params: float
+    terms: DataFrame,
+    postings: DataFrame,
+    sim: int,
+    small: bool,
+    norms: str = "quantized",
+    alternatives: bool = True,
+    **params: float,
 ) -> DataFrame:
     """``(query_ord, ord, score)`` with clause structure: must / must_not, and the tf-idf coordination factors.
 
     ``terms(query_ord, chunk, occur, pos, term, statistics)``. tf-idf multiplies a chunk's sum by the share of its
-    positions that match, and the total by the share of scoring chunks that match. All groupings hold ``ord``, so
-    postings spread by it are never shuffled again.
+    positions that match, and the total by the share of scoring chunks that match. ``alternatives``: whether terms can
+    share a position. All groupings hold ``ord``, so postings spread by it are never shuffled again.
     """
     sim = resolve_similarity(sim)
-    shapes = query_shapes(terms)
-    widths = terms.groupBy("query_ord", "chunk").agg(F.count_distinct("pos").alias("width"))
-    weighted = terms.join(widths, ["query_ord", "chunk"]).join(shapes.select("query_ord", "query_norm"), "query_ord")
-    scored = _scored(match(weighted, postings, small), sim, norms, params)
-    positions = scored.groupBy("query_ord", "chunk", "occur", "width", "pos", "ord").agg(F.sum("clause").alias("part"))
+    rows = _scored(match(with_shapes(terms), postings, small), sim, norms, params)
+    chunk = ["query_ord", "chunk", "ord"]
+    query_facts = [F.first(name).alias(name) for name in ("occur", "width", "chunks", "musts")]
+    if alternatives:
+        rows = rows.groupBy(*chunk, "pos").agg(F.sum("clause").alias("clause"), *query_facts)
     share = F.count(F.lit(1)) / F.first("width") if sim == VSM else F.lit(1.0)
-    chunks = positions.groupBy("query_ord", "chunk", "occur", "ord").agg((F.sum("part") * share).alias("part"))
+    chunks = rows.groupBy(*chunk).agg((F.sum("clause") * share).alias("part"), *query_facts)
     total = F.sum(F.when(F.col("occur") != MUST_NOT, F.col("part"))).alias("total")
-    kept = keep_by_occur(chunks, F.broadcast(shapes) if small else shapes, total)
+    kept = keep_by_occur(chunks, F.first("chunks").alias("chunks"), total)
     coord = (F.col(f"n_{MUST}") + F.col(f"n_{SHOULD}")) / F.col("chunks") if sim == VSM else F.lit(1.0)
     return kept.select("query_ord", "ord", (F.col("total") * coord).alias("score"))

@@ -16,6 +16,15 @@ def distinct_positions() -> Column:
     return F.size(F.array_distinct(F.col("tokens")["pos"])).cast("long")
 
 
+def token_rows(analyzed: DataFrame, *keep: str) -> DataFrame:
+    """One row per token: the ``keep`` columns, ``pos`` and ``term``.
+
+    The outer form of the generator, because the optimizer puts a size filter in front of the inner one, which would
+    run the whole analysis a second time.
+    """
+    return analyzed.select(*keep, F.inline_outer("tokens")).filter(F.col("term").isNotNull())
+
+
 def build_postings(analyzed: DataFrame) -> DataFrame:
     """``(field, term, ord, tf, positions, dl)`` from ``(field, ord, tokens)``.
 
@@ -23,7 +32,9 @@ def build_postings(analyzed: DataFrame) -> DataFrame:
     document's length rides along: scoring needs it for every posting and then joins nothing on ``ord``. A reader
     that drops ``positions`` gets a plain count.
     """
-    rows = analyzed.select("field", "ord", distinct_positions().alias("dl"), F.inline("tokens"))
+    # The length is its own step: beside the generator it would be worked out again for every token.
+    sized = analyzed.select("field", "ord", "tokens", distinct_positions().alias("dl"))
+    rows = token_rows(sized, "field", "ord", "dl")
     return rows.groupBy("field", "term", "ord", "dl").agg(
         F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
     ).select("field", "term", "ord", "tf", "positions", "dl")

@@ -63,7 +63,7 @@ def _candidates(rows: DataFrame, words: str, synonyms: SynonymRules, key: list[s
             F.col(words), lambda term, pos: F.struct(pos.cast("int").alias("start"), term.alias("term"), F.array(term).alias("next"))
         )
     spans = (
-        rows.select(*key, F.inline(window))
+        rows.select(*key, F.inline_outer(window))
         .join(synonyms.lookup(synonyms.heads), "term")
         .select(*key, "start", "next", F.explode("lengths").alias("len"))
         .filter(F.col("len") <= F.size("next"))
@@ -100,7 +100,7 @@ def _non_overlapping(candidates: DataFrame, key: list[str]) -> DataFrame:
         ).otherwise(state),
         lambda state: state["kept"],
     )
-    return islands.groupBy(*key, "island").agg(spans.alias("spans")).select(*key, F.inline(kept))
+    return islands.groupBy(*key, "island").agg(spans.alias("spans")).select(*key, F.inline_outer(kept))
 
 
 def expand_synonyms(rows: DataFrame, words: str, synonyms: SynonymRules | DataFrame, key: list[str]) -> DataFrame:

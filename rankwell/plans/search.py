@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwell.functions.scoring import VSM, resolve_similarity
-from rankwell.operators.boolean import SHOULD, analyzed_chunks, assign_occur, valid_queries
+from rankwell.operators.boolean import OPERATORS, SHOULD, analyzed_chunks, assign_occur, valid_queries
 from rankwell.operators.matching import score_clauses, score_terms, with_stats
+from rankwell.operators.postings import token_rows
 from rankwell.operators.ranking import fetch_fields, top_k, total_hits
 from rankwell.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS
 from rankwell.operators.synonyms import SynonymRules
@@ -17,36 +18,59 @@ from rankwell.plans.build import Index
 from rankwell.schema import QUESTION, QUESTION_FIELD
 
 
+# Up to this many distinct query words go into the scans as an IN list, which parquet checks per row group.
+PUSHED_TERMS = 2000
+
+
 @dataclass(frozen=True)
-class QuerySize:
-    """What one aggregate over the query terms tells about the batch."""
+class Batch:
+    """What one aggregate over the query bodies tells about them."""
 
-    rows: int
+    queries: int
     size: int
-    plain: bool
+    longest: int
+    operators: bool
 
     @property
-    def small(self) -> bool:
-        return self.rows <= BROADCAST_ROWS and self.size <= BROADCAST_BYTES
+    def terms(self) -> int:
+        """Bound on the query terms: each takes a character, and a separator from the next."""
+        return self.size // 2 + self.queries
+
+
+def inspect(queries: DataFrame) -> Batch:
+    """One pass over the query bodies."""
+    operator = "|".join(OPERATORS)
+    count, size, longest, operators = queries.agg(
+        F.count(F.lit(1)),
+        F.coalesce(F.sum(F.octet_length("body").cast("long")), F.lit(0)),
+        F.coalesce(F.max(F.length("body")), F.lit(0)),
+        F.coalesce(F.some(F.col("body").rlike(operator)), F.lit(False)),
+    ).first()
+    return Batch(count, size, longest, operators)
 
 
 def clause_terms(
-    queries: DataFrame, chain: str = "standard", synonyms: SynonymRules | DataFrame | None = None
+    queries: DataFrame,
+    chain: str = "standard",
+    synonyms: SynonymRules | DataFrame | None = None,
+    operators: bool = True,
 ) -> DataFrame:
-    """``(query_ord, chunk, occur, pos, term)`` of valid queries."""
-    return assign_occur(analyzed_chunks(queries, chain, synonyms)).select(
-        "query_ord", "chunk", "occur", F.inline("tokens")
-    )
+    """``(query_ord, chunk, occur, pos, term)`` of valid queries; ``operators=False`` when no body can hold one."""
+    chunks = analyzed_chunks(queries, chain, synonyms)
+    clauses = assign_occur(chunks) if operators else chunks.withColumn("occur", F.lit(SHOULD))
+    return token_rows(clauses, "query_ord", "chunk", "occur")
 
 
-def measure(terms: DataFrame) -> QuerySize:
-    """Rows and bytes of the query side, and whether every clause is a should."""
-    rows, size, plain = terms.agg(
-        F.count(F.lit(1)),
-        F.coalesce(F.sum(F.octet_length("term").cast("long")), F.lit(0)),
-        F.coalesce(F.every(F.col("occur") == SHOULD), F.lit(True)),
-    ).first()
-    return QuerySize(rows, size, plain)
+def _only(table: DataFrame, words: list[str] | None) -> DataFrame:
+    return table if words is None else table.filter(F.col("term").isin(words))
+
+
+@dataclass(frozen=True)
+class Scores:
+    """``(query_ord, ord, score)`` of every matching document, and a bound on the query terms if they are few."""
+
+    rows: DataFrame
+    terms: int | None
 
 
 def score(
@@ -56,17 +80,34 @@ def score(
     field: str = QUESTION_FIELD,
     synonyms: SynonymRules | DataFrame | None = None,
     norms: str = "quantized",
+    batch: Batch | None = None,
     **params: float,
-) -> tuple[DataFrame, QuerySize]:
-    """``(query_ord, ord, score)`` of every matching document, for queries already known to be valid."""
+) -> Scores:
+    """Score every matching document of queries already known to be valid."""
     sim = resolve_similarity(sim)
-    terms = clause_terms(queries, "standard" if synonyms is None else "synonym", synonyms)
-    size = measure(terms)
+    batch = batch or inspect(queries)
+    terms = clause_terms(queries, "standard" if synonyms is None else "synonym", synonyms, batch.operators)
+    if synonyms is None:
+        count, size = batch.terms, batch.size
+    else:
+        count, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term").cast("long")), F.lit(0))).first()
+    small = count <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    words = None
+    if small:
+        found = terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
+        words = [row["term"] for row in found] if len(found) <= PUSHED_TERMS else None
+    plain = not batch.operators and sim != VSM
+    if plain:
+        terms = terms.groupBy("query_ord", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighted = with_stats(
-        terms.withColumn("field", F.lit(field)), index.term_stats[field], index.collection_stats, size.small
+        terms.withColumn("field", F.lit(field)), _only(index.term_stats[field], words), index.collection_stats, small
     )
-    run = score_terms if size.plain and sim != VSM else score_clauses
-    return run(weighted, index.postings[field], sim, size.small, norms, **params), size
+    postings = _only(index.postings[field], words)
+    if plain:
+        rows = score_terms(weighted, postings, sim, small, norms, **params)
+    else:
+        rows = score_clauses(weighted, postings, sim, small, norms, synonyms is not None, **params)
+    return Scores(rows, count if small else None)
 
 
 def search(
@@ -87,14 +128,13 @@ def search(
     ``totals=False`` leaves the column out and saves counting the matches.
     """
     rules = None if synonyms is None else SynonymRules.of(synonyms)
-    accepted = valid_queries(queries, "standard" if rules is None else "synonym", rules)
-    scores, size = score(accepted, index, sim, field, rules, norms, **params)
-    hits = top_k(scores, k)
-    # A query with a hit has a term, so k hits per query term is a bound on the hits.
-    few = size.small and size.rows * k <= BROADCAST_ROWS
-    hits = fetch_fields(hits, index.docs, small=few)
+    batch = inspect(queries)
+    accepted = valid_queries(queries, "standard" if rules is None else "synonym", rules, batch.longest)
+    scores = score(accepted, index, sim, field, rules, norms, batch, **params)
+    few = scores.terms is not None and batch.queries * k <= BROADCAST_ROWS
+    hits = fetch_fields(top_k(scores.rows, k), index.docs, small=few)
     if totals:
-        counted = total_hits(scores)
+        counted = total_hits(scores.rows)
         hits = hits.join(F.broadcast(counted) if few else counted, "query_ord")
     ids = accepted.select(F.col("ord").alias("query_ord"), F.col("id").alias("query_id"))
     columns = ["query_ord", "query_id", "rank", "ord", "doc_id", "score"] + (["total_hits"] if totals else [])
