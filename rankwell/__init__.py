@@ -12,7 +12,7 @@ from rankwell.functions.text import (
     tokenize,
 )
 from rankwell.operators.analysis import analyze, query_terms
-from rankwell.operators.boolean import assign_occur, boolean_match, valid_queries, valid_query
+from rankwell.operators.boolean import analyzed_chunks, assign_occur, boolean_match, valid_queries, valid_query
 from rankwell.operators.matching import match, score_clauses, score_terms, with_stats
 from rankwell.operators.postings import build_postings, collection_stats, doc_lengths, term_stats, term_vectors, token_rows
 from rankwell.operators.ranking import fetch_fields, report, top_k, total_hits
