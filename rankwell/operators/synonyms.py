@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.operators.sizing import fits_broadcast
+from rankwell.sources.scratch import materialize
 
 # Joins the words of a rule into one key; no token can hold it.
 _GLUE = "\u0001"
@@ -32,9 +33,10 @@ class SynonymRules:
 
     @classmethod
     def of(cls, synonyms: DataFrame | SynonymRules) -> SynonymRules:
-        """Group ``(input, output)`` rules by input and check their size."""
+        """Group ``(input, output)`` rules by input, once, and check their size."""
         if isinstance(synonyms, SynonymRules):
             return synonyms
+        synonyms = materialize(synonyms, "synonyms")
         rules = synonyms.groupBy(F.array_join("input", _GLUE).alias("phrase")).agg(
             F.sort_array(F.collect_set("output")).alias("outputs")
         )
@@ -42,7 +44,8 @@ class SynonymRules:
             F.sort_array(F.collect_set(F.size("input"))).alias("lengths")
         )
         longest = synonyms.agg(F.coalesce(F.max(F.size("input")), F.lit(1))).first()[0]
-        return cls(heads, rules, longest, fits_broadcast(synonyms, "input", "output"))
+        small = fits_broadcast(synonyms, "input", "output")
+        return cls(materialize(heads, "heads"), materialize(rules, "rules"), longest, small)
 
     def lookup(self, table: DataFrame) -> DataFrame:
         return F.broadcast(table) if self.small else table

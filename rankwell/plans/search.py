@@ -16,6 +16,7 @@ from rankwell.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS
 from rankwell.operators.synonyms import SynonymRules
 from rankwell.plans.build import Index
 from rankwell.schema import QUESTION, QUESTION_FIELD
+from rankwell.sources.scratch import materialize
 
 
 # Up to this many distinct query words go into the scans as an IN list, which parquet checks per row group.
@@ -90,6 +91,7 @@ def score(
     if synonyms is None:
         count, size = batch.terms, batch.size
     else:
+        terms = materialize(terms, "query-terms")
         count, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term").cast("long")), F.lit(0))).first()
     small = count <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     words = None

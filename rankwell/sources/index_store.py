@@ -108,7 +108,7 @@ def write_index(
             .option("path", _postings_path(path, field))
             .saveAsTable(name)
         )
-        written = spark.read.parquet(_postings_path(path, field)).filter(F.col("batch") == batch)
+        written = spark.table(_register(spark, path, field)).filter(F.col("batch") == batch)
         (
             term_stats(written)
             .withColumn("batch", F.lit(batch))
@@ -116,7 +116,12 @@ def write_index(
             .write.mode(mode)
             .parquet(f"{path}/term_stats_{field}")
         )
-        index.doc_stats[field].withColumn("batch", F.lit(batch)).write.mode(mode).parquet(f"{path}/doc_stats_{field}")
+        (
+            _doc_stats(spark.read.parquet(f"{path}/docs").filter(F.col("batch") == batch), written, field)
+            .withColumn("batch", F.lit(batch))
+            .write.mode(mode)
+            .parquet(f"{path}/doc_stats_{field}")
+        )
     stats = [
         spark.read.parquet(f"{path}/doc_stats_{field}")
         .filter(F.col("batch") == batch)
@@ -130,6 +135,18 @@ def write_index(
     totals.coalesce(1).write.mode(mode).parquet(f"{path}/collection_stats")
 
 
+def _doc_stats(docs: DataFrame, postings: DataFrame, field: str) -> DataFrame:
+    """Document lengths from stored postings, which costs less than analysing the text again; the grouping follows the
+    buckets."""
+    lengths = postings.groupBy("ord").agg(F.sum("tf").alias("num_tokens"), F.first("dl").alias("dl"))
+    return docs.select("ord").join(lengths, "ord", "left").select(
+        F.lit(field).alias("field"),
+        "ord",
+        F.coalesce("num_tokens", F.lit(0)).alias("num_tokens"),
+        F.coalesce("dl", F.lit(0)).alias("dl"),
+    )
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     """Index tables of ``path``; statistics are summed over its batches."""
     totals = spark.read.parquet(f"{path}/collection_stats")

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwell import SynonymRules, analyze, read_synonyms, token_rows
+from rankwell.sources.scratch import scratch_path as scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="rankwell-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as questions."""
     return table(spark, sf_dir, "documents").select(
