@@ -12,27 +12,28 @@ HOT_SHARE = 1000
 SALTS = 64
 
 
-def with_stats(terms: DataFrame, term_stats: DataFrame, collection_stats: DataFrame, small: bool) -> DataFrame:
+def with_stats(
+    terms: DataFrame, term_stats: DataFrame, collection_stats: DataFrame, small: bool, pruned: bool = False
+) -> DataFrame:
     """Attach collection and term statistics to query terms; a term that no document holds gets df = ttf = 0.
 
     The statistics meet the short query side, before the match: matched postings then need no further lookup. The
-    collection has one row per field.
+    collection has one row per field. ``small``: the query terms have a checked size; ``pruned``: ``term_stats`` holds
+    none but their words already.
     """
-    if not small:
-        term_stats = term_stats.join(terms.select("field", "term").distinct(), ["field", "term"], "left_semi")
+    if not pruned:
+        words = terms.select("field", "term").distinct()
+        term_stats = term_stats.join(F.broadcast(words) if small else words, ["field", "term"], "left_semi")
+    # No more rows than there are query terms.
+    known = F.broadcast(term_stats) if small else term_stats
     return (
-        terms.join(F.broadcast(_known(terms, term_stats)) if small else term_stats, ["field", "term"], "left")
+        terms.join(known, ["field", "term"], "left")
         .withColumn("df", F.coalesce("df", F.lit(0)))
         .withColumn("ttf", F.coalesce("ttf", F.lit(0)))
         .join(F.broadcast(collection_stats), "field")
     )
 
 
-def _known(terms: DataFrame, term_stats: DataFrame) -> DataFrame:
-    """Statistics of the query terms alone: no more rows than there are query terms."""
-    return term_stats.join(F.broadcast(terms.select("field", "term").distinct()), ["field", "term"], "left_semi")
-
-
 def match(terms: DataFrame, postings: DataFrame, small: bool) -> DataFrame:
     """Equi-join of weighted query terms and postings on the term; any shared term is a match.
 
@@ -64,10 +65,22 @@ def score_terms(
     """``(query_ord, ord, score)`` when every clause is a should and nothing but the terms matters.
 
     ``terms(query_ord, term, qtf, statistics)``: a term that a query holds several times is looked up once and counted
-    ``qtf`` times. Postings spread by ``ord`` (a lazy or a bucketed index) are summed where they are.
+    ``qtf`` times. Postings spread by ``ord`` (a lazy or a bucketed index) are summed where they are. Under tf-idf every
+    chunk must hold one term: then the share of chunks that match is the share of terms.
     """
-    scored = _scored(match(terms, postings, small), resolve_similarity(sim), norms, params)
-    return scored.groupBy("query_ord", "ord").agg(F.sum(F.col("clause") * F.col("qtf")).alias("score"))
+    sim = resolve_similarity(sim)
+    coord = F.lit(1.0)
+    if sim == VSM:
+        query = Window.partitionBy("query_ord")
+        idf = vsm_idf(F.col("df"), F.col("max_doc"))
+        terms = terms.select(
+            "*",
+            F.sum("qtf").over(query).alias("chunks"),
+            (1.0 / F.sqrt(F.sum(F.col("qtf") * idf * idf).over(query))).alias("query_norm"),
+        )
+        coord = F.sum("qtf") / F.first("chunks")
+    scored = _scored(match(terms, postings, small), sim, norms, params)
+    return scored.groupBy("query_ord", "ord").agg((F.sum(F.col("clause") * F.col("qtf")) * coord).alias("score"))
 
 
 def with_shapes(terms: DataFrame) -> DataFrame:
@@ -103,8 +116,8 @@ def score_clauses(
     """
     sim = resolve_similarity(sim)
     rows = _scored(match(with_shapes(terms), postings, small), sim, norms, params)
-    chunk = ["query_ord", "chunk", "ord"]
-    query_facts = [F.first(name).alias(name) for name in ("occur", "width", "chunks", "musts")]
+    chunk = ["query_ord", "chunk", "occur", "ord"]
+    query_facts = [F.first(name).alias(name) for name in ("width", "chunks", "musts")]
     if alternatives:
         rows = rows.groupBy(*chunk, "pos").agg(F.sum("clause").alias("clause"), *query_facts)
     share = F.count(F.lit(1)) / F.first("width") if sim == VSM else F.lit(1.0)

@@ -34,22 +34,21 @@ def top_k(scores: DataFrame, k: int = 3) -> DataFrame:
 
 
 def total_hits(scores: DataFrame) -> DataFrame:
-    """``(query_ord, total_hits)``: matching documents before the top-k cut."""
-    return scores.groupBy("query_ord").agg(F.count("score").alias("total_hits"))
+    """``(query_ord, total_hits)``: matching documents before the top-k cut. Needs no score, so none is worked out."""
+    return scores.groupBy("query_ord").agg(F.count(F.lit(1)).alias("total_hits"))
 
 
 def fetch_fields(hits: DataFrame, docs: DataFrame, *fields: str, small: bool = False) -> DataFrame:
     """Add stored fields (``doc_id`` at least) to the hits; runs after the cut, so nothing else carries them.
 
-    Stored documents laid out in ``ord_block`` directories are pruned to the blocks that hold hits.
+    ``small``: the hits have a checked size and are written out. They are then broadcast, and of stored documents
+    (laid out in ``ord_block`` directories) only the directories that hold hits are read.
     """
+    if small and "ord_block" in docs.columns:
+        block = F.floor(F.col("ord") / docs_per_block()).alias("ord_block")
+        blocks = [row["ord_block"] for row in hits.select(block).distinct().collect()]
+        docs = docs.filter(F.col("ord_block").isin(blocks))
     wanted = docs.select("ord", *{"doc_id": None, **dict.fromkeys(fields)})
-    if "ord_block" in docs.columns:
-        block_size = docs_per_block()
-        wanted = docs.select("ord", "ord_block", *{"doc_id": None, **dict.fromkeys(fields)})
-        hits = hits.withColumn("ord_block", F.floor(F.col("ord") / block_size).cast("long"))
-        joined = wanted.join(F.broadcast(hits) if small else hits, ["ord", "ord_block"])
-        return joined.drop("ord_block")
     return wanted.join(F.broadcast(hits) if small else hits, "ord")
 
 

@@ -26,6 +26,7 @@ class Index:
     doc_stats: dict[str, DataFrame]
     term_stats: dict[str, DataFrame]
     collection_stats: DataFrame
+    stored: bool = False
 
     def all_postings(self) -> DataFrame:
         return _union(self.postings)

@@ -19,8 +19,12 @@ from rankwell.schema import QUESTION, QUESTION_FIELD
 from rankwell.sources.scratch import materialize
 
 
-# Up to this many distinct query words go into the scans as an IN list, which parquet checks per row group.
-PUSHED_TERMS = 2000
+# Up to this many distinct query words go into the scans as an IN list, which parquet checks per row group. Every later
+# planning step walks the list, so a longer one costs more than it saves.
+PUSHED_TERMS = 256
+
+# Punctuation between two word characters of one chunk: only there can a chunk fall into several terms.
+_INNER_BREAK = r"[\p{L}\p{M}\p{Nd}_][^\p{L}\p{M}\p{Nd}_ \t\r\n\u3000]++[\p{L}\p{M}\p{Nd}_]"
 
 
 @dataclass(frozen=True)
@@ -31,6 +35,7 @@ class Batch:
     size: int
     longest: int
     operators: bool
+    compound: bool
 
     @property
     def terms(self) -> int:
@@ -41,13 +46,14 @@ class Batch:
 def inspect(queries: DataFrame) -> Batch:
     """One pass over the query bodies."""
     operator = "|".join(OPERATORS)
-    count, size, longest, operators = queries.agg(
+    count, size, longest, operators, compound = queries.agg(
         F.count(F.lit(1)),
         F.coalesce(F.sum(F.octet_length("body").cast("long")), F.lit(0)),
         F.coalesce(F.max(F.length("body")), F.lit(0)),
         F.coalesce(F.some(F.col("body").rlike(operator)), F.lit(False)),
+        F.coalesce(F.some(F.col("body").rlike(_INNER_BREAK)), F.lit(False)),
     ).first()
-    return Batch(count, size, longest, operators)
+    return Batch(count, size, longest, operators, compound)
 
 
 def clause_terms(
@@ -63,7 +69,14 @@ def clause_terms(
 
 
 def _only(table: DataFrame, words: list[str] | None) -> DataFrame:
-    return table if words is None else table.filter(F.col("term").isin(words))
+    """Rows of the given words; all rows if there is no list."""
+    if words is None:
+        return table
+    # One parsed expression instead of one call per literal.
+    simple = ", ".join(f"'{word}'" for word in words if "'" not in word)
+    quoted = [word for word in words if "'" in word]
+    wanted = F.col("term").isin(quoted) if quoted else F.lit(False)
+    return table.filter(F.expr(f"term IN ({simple})") | wanted if simple else wanted)
 
 
 @dataclass(frozen=True)
@@ -98,11 +111,15 @@ def score(
     if small:
         found = terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
         words = [row["term"] for row in found] if len(found) <= PUSHED_TERMS else None
-    plain = not batch.operators and sim != VSM
+    plain = not batch.operators and (sim != VSM or (synonyms is None and not batch.compound))
     if plain:
         terms = terms.groupBy("query_ord", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighted = with_stats(
-        terms.withColumn("field", F.lit(field)), _only(index.term_stats[field], words), index.collection_stats, small
+        terms.withColumn("field", F.lit(field)),
+        _only(index.term_stats[field], words),
+        index.collection_stats,
+        small,
+        pruned=words is not None,
     )
     postings = _only(index.postings[field], words)
     if plain:
@@ -127,17 +144,21 @@ def search(
 
     ``queries(id, topic, body, ord)``: the body is the query, ``ord`` tells repeated ids apart. ``field`` is the
     document field searched. With ``synonyms`` the queries are expanded as the index was. ``params``: k1, b, mu, lam.
-    ``totals=False`` leaves the column out and saves counting the matches.
+    ``totals=False`` leaves the column out and saves counting the matches. Over a stored index the few hits of a small
+    batch are worked out at once and written down, so that every use of the result reads those.
     """
     rules = None if synonyms is None else SynonymRules.of(synonyms)
     batch = inspect(queries)
     accepted = valid_queries(queries, "standard" if rules is None else "synonym", rules, batch.longest)
     scores = score(accepted, index, sim, field, rules, norms, batch, **params)
     few = scores.terms is not None and batch.queries * k <= BROADCAST_ROWS
-    hits = fetch_fields(top_k(scores.rows, k), index.docs, small=few)
+    hits = top_k(scores.rows, k)
     if totals:
         counted = total_hits(scores.rows)
         hits = hits.join(F.broadcast(counted) if few else counted, "query_ord")
+    if few and index.stored:
+        hits = materialize(hits, "hits")
+    hits = fetch_fields(hits, index.docs, small=few)
     ids = accepted.select(F.col("ord").alias("query_ord"), F.col("id").alias("query_id"))
     columns = ["query_ord", "query_id", "rank", "ord", "doc_id", "score"] + (["total_hits"] if totals else [])
     return hits.join(ids, "query_ord").select(*columns)

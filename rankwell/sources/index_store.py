@@ -172,4 +172,5 @@ def read_index(spark: SparkSession, path: str) -> Index:
         collection_stats=with_average_length(
             totals.groupBy("field").agg(F.sum("max_doc").alias("max_doc"), F.sum("sum_ttf").alias("sum_ttf"))
         ),
+        stored=True,
     )

@@ -129,3 +129,14 @@ def test_large_batch_plan_gives_the_same_hits(spark, index, questions, sim, monk
 
 def test_queries_without_hits_or_text(spark, index, questions):
     assert search(questions(("1", "", "it is the"), ("2", "", "   "), ("3", "", "zebra")), index).count() == 0
+
+
+def test_vsm_is_the_same_with_and_without_chunk_structure(index, questions):
+    plain = [("a", "", "ice cream sugar zebra"), ("b", "", "free free, carbs. the")]
+    alone = search(questions(*plain), index, sim=0, k=5).orderBy("query_ord", "rank").collect()
+    mixed = search(questions(*plain, ("c", "", "sugar-free")), index, sim=0, k=5)
+    mixed = mixed.filter("query_id <> 'c'").orderBy("query_ord", "rank").collect()
+    assert [(r["query_id"], r["ord"], r["total_hits"]) for r in alone] == [
+        (r["query_id"], r["ord"], r["total_hits"]) for r in mixed
+    ]
+    assert [r["score"] for r in alone] == pytest.approx([r["score"] for r in mixed], abs=1e-12)

@@ -1,8 +1,11 @@
 import random
+from contextlib import redirect_stdout
+from io import StringIO
 
 import pytest
 
 from rankwell import (
+    adhoc_query,
     append_corpora,
     index_count,
     read_index,
@@ -11,6 +14,7 @@ from rankwell import (
     report,
     result_lines,
     results_name,
+    score,
     search,
     search_text,
     valid_queries,
@@ -113,8 +117,11 @@ def test_store_append_equals_one_build(spark, questions, tmp_path):
 
     hits = search_text("sugar cream", appended, sim=1).orderBy("rank").collect()
     assert [r["doc_id"] for r in hits] == ["c", "a", "a"] and hits[0]["total_hits"] == 3
-    plan = search_text("sugar", appended, sim=4, totals=False)._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan
+    with redirect_stdout(StringIO()) as plan:
+        score(adhoc_query(spark, "sugar"), appended, 4).rows.explain()
+    # Only the query side is shuffled: sums stay in their bucket.
+    assert "Bucketed: true" in plan.getvalue() and "hashpartitioning(ord" not in plan.getvalue()
+    assert "hashpartitioning(query_ord#" not in plan.getvalue().split("BroadcastExchange")[0]
 
     # A batch that never reached the collection statistics is not there.
     orphan = spark.read.parquet(f"{both}/docs").limit(1).selectExpr("ord + 9 AS ord", "doc_id", "topic", "question", "9 AS batch", "ord_block")
