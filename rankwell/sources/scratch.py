@@ -4,19 +4,53 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is not set."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, else the context's checkpoint folder, else (local master only) a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="rankwell-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        shared = spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return tempfile.mkdtemp(prefix="rankwell-")
+    raise RuntimeError(
+        f"intermediate tables need a folder that all machines of {master} share: set spark.checkpoint.dir or "
+        "call SparkContext.setCheckpointDir"
+    )
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def shuffle_clean_up(spark: SparkSession) -> Iterator[None]:
+    """Inside, shuffle files go as soon as the query that made them has ended, not when the driver collects garbage."""
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: its plan is not run again by every use, and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with shuffle_clean_up(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
