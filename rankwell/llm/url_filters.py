@@ -57,16 +57,27 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return F.get(F.filter(listed, fits), F.lit(0))
 
 
-def alias_key(url: Column) -> Column:
+def _with_parts(rows: DataFrame, url: str = "url") -> DataFrame:
+    """``rows`` with the URL's host, path and rest (path and query), each worked out once."""
+    rows = rows.withColumns(
+        {
+            "host": F.regexp_extract(text_or_empty(F.col(url)), "://([^/?#]*)", 1),
+            "path": path_of(F.col(url)),
+            "rest": F.regexp_extract(text_or_empty(F.col(url)), "://[^/?#]*([^#]*)", 1),
+        }
+    )
+    return rows.withColumn("host", lower_ascii(F.col("host")))
+
+
+def _alias_key() -> Column:
     """What a URL is known by among aliases: host, path and query, without scheme and fragment; null where no host."""
-    rest = F.regexp_extract(text_or_empty(url), "://[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(rest == "", "/").otherwise(rest)))
+    return F.when(F.col("host") != "", F.concat("host", F.when(F.col("rest") == "", "/").otherwise(F.col("rest"))))
 
 
-def _absolute(url: Column, target: Column) -> Column:
-    """``target`` as seen from ``url``: whole, ``//host/..``, ``/path`` or relative to the folder of the page."""
-    folder = F.regexp_extract(path_of(url), "^(.*/)", 1)
-    site = F.concat(F.lit("http://"), host_of(url))
+def _absolute() -> Column:
+    """A link as seen from the page: whole, ``//host/..``, ``/path`` or relative to the folder of the page."""
+    target, site = F.col("target"), F.concat(F.lit("http://"), "host")
+    folder = F.regexp_extract("path", "^(.*/)", 1)
     return (
         F.when(target.contains("://"), target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
@@ -86,7 +97,8 @@ def page_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     )
     found = pages.select(url.alias("url"), F.explode(F.concat(canonical, refresh)).alias("target"))
     found = found.filter("target <> ''")
-    return found.select(alias_key(F.col("url")).alias("source"), alias_key(_absolute(F.col("url"), F.col("target"))).alias("target"))
+    found = _with_parts(found).select(_alias_key().alias("source"), _absolute().alias("link"))
+    return _with_parts(found, "link").select("source", _alias_key().alias("target"))
 
 
 def filter_urls(
@@ -108,14 +120,16 @@ def filter_urls(
     counts as well. Repeated rows give repeated rows.
     """
     url = pages[url_col]
-    judged = pages.select(pages[id_col].alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
-    judged = judged.withColumn("own", rule_of(F.col("host"), F.col("path"), rules)).withColumn("key", alias_key(F.col("url")))
+    judged = _with_parts(pages.select(pages[id_col].alias("page_id"), url.alias("url")))
+    judged = judged.withColumn("own", rule_of(F.col("host"), F.col("path"), rules)).withColumn("key", _alias_key())
     links = []
     if html_col:
         links.append(page_links(pages, url_col=url_col, html_col=html_col))
     if redirects is not None:
         source, target = redirects.columns[:2]
-        links.append(redirects.select(alias_key(redirects[source]).alias("source"), alias_key(redirects[target]).alias("target")))
+        known = redirects.select(redirects[source].alias("from"), redirects[target].alias("to"))
+        known = _with_parts(known, "from").select(_alias_key().alias("source"), "to")
+        links.append(_with_parts(known, "to").select("source", _alias_key().alias("target")))
     decided = _component_verdicts(links, rules) if links else None
     shown = judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("verdict"), "key")
     if decided is None:
@@ -137,8 +151,8 @@ def _component_verdicts(links: list[DataFrame], rules: Sequence[tuple[str, str,
     a = numbered.select(F.col("key").alias("source"), F.col("node").alias("a"))
     b = numbered.select(F.col("key").alias("target"), F.col("node").alias("b"))
     components = connected_components(edges.join(a, "source").join(b, "target").select("a", "b"))
-    located = F.concat(F.lit("http://"), F.col("key"))
-    ruled = numbered.withColumn("own", rule_of(host_of(located), path_of(located), rules)["verdict"])
+    located = _with_parts(numbered.withColumn("url", F.concat(F.lit("http://"), "key")))
+    ruled = located.withColumn("own", rule_of(F.col("host"), F.col("path"), rules)["verdict"]).select("key", "node", "own")
     members = materialize(ruled.join(components, "node"), "url-components")
     verdicts = members.groupBy("component").agg(F.min("own").alias("passed_on"))  # allow sorts before block
     return members.join(verdicts, "component").select("key", "passed_on")
