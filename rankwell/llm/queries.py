@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwell.llm import exact_dedup, license_scan, packing, token_counts, url_filters
+from rankwell.llm import exact_dedup, license_scan, nearest, packing, token_counts, url_filters
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,6 +15,7 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": _over("documents", token_counts.query),
+    "op3_nearest": _over("embeddings", nearest.query),
     "op4_license_scan": _over("documents", license_scan.query),
     "op8_packing": _over("documents", packing.query),
     "op9_exact_dedup": _over("documents", exact_dedup.query),
