@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwell.llm import exact_dedup, license_scan, nearest, packing, token_counts, url_filters
+from rankwell.llm import exact_dedup, license_scan, nearest, packing, quality, token_counts, toxicity, url_filters
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _learnt(query: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": _over("documents", token_counts.query),
     "op3_nearest": _over("embeddings", nearest.query),
     "op4_license_scan": _over("documents", license_scan.query),
+    "op5_toxicity": _learnt(toxicity.query),
+    "op6_quality": _learnt(quality.query),
     "op8_packing": _over("documents", packing.query),
     "op9_exact_dedup": _over("documents", exact_dedup.query),
     "op10_url_filter": _over("pages", url_filters.query),
