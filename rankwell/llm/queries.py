@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwell.llm import exact_dedup, license_scan, nearest, packing, quality, token_counts, toxicity, url_filters
+from rankwell.llm import exact_dedup, license_scan, nearest, packing, quality, sentencepiece_viterbi, token_counts, toxicity, url_filters
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": _over("documents", license_scan.query),
     "op5_toxicity": _learnt(toxicity.query),
     "op6_quality": _learnt(quality.query),
+    "op7_sentencepiece": _over("documents", sentencepiece_viterbi.query),
     "op8_packing": _over("documents", packing.query),
     "op9_exact_dedup": _over("documents", exact_dedup.query),
     "op10_url_filter": _over("pages", url_filters.query),
