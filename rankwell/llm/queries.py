@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwell.llm import exact_dedup, license_scan, nearest, packing, quality, sentencepiece_viterbi, token_counts, toxicity, url_filters
+from rankwell.llm import exact_dedup, jaccard_join, license_scan, nearest, packing, quality, sentencepiece_viterbi, token_counts, toxicity, url_filters
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,7 @@ def _learnt(query: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[Spa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": _over("documents", token_counts.query),
+    "op2_jaccard_join": _over("documents", jaccard_join.query),
     "op3_nearest": _over("embeddings", nearest.query),
     "op4_license_scan": _over("documents", license_scan.query),
     "op5_toxicity": _learnt(toxicity.query),
