@@ -19,7 +19,7 @@ from rankwell.sources.scratch import materialize
 SEQUENCE_TOKENS = 1024
 DIMENSIONS, BITS = 3, 16  # of the curve: a key of 48 bits
 FEATURES = 256  # of the hashed document vectors
-MEMO_WORDS = 500_000  # words whose ids a Python worker remembers; only speed depends on it
+MEMO_WORDS = 1_000_000  # words whose ids a Python worker remembers; only speed depends on it
 _BLOCK = 1 << 20  # ids of one output batch
 
 _WORKER: dict = {}
@@ -54,9 +54,13 @@ class Encoder:
         self._special = set(special)
         if max(*ranks.values(), *special.values()) > 0xFFFF:
             raise ValueError("ids over 65535 do not fit two bytes")
+        self._begins_word = np.zeros(1 << 16, bool)
+        self._begins_word[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
         self._known: dict[str, bytes] = {}
 
     def _direct(self, text: str) -> bytes:
+        if not any(s in text for s in self._special):
+            return np.asarray(self._bpe.encode_ordinary(text), "<u2").tobytes()
         return np.asarray(self._bpe.encode(text, allowed_special=self._special), "<u2").tobytes()
 
     def ids(self, text: str) -> bytes:
@@ -72,12 +76,19 @@ class Encoder:
         except KeyError:
             if len(known) > MEMO_WORDS:
                 known.clear()
-            encode = self._bpe.encode_ordinary
-            for word in words:
-                if word not in known:
-                    known[word] = np.asarray(encode(" " + word), "<u2").tobytes()
+            self._learn(list({word: None for word in words if word not in known}))
             return self._direct(first) + b"".join(map(known.__getitem__, words))
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, encoded in one go: no word holds a space, so a token that begins with one begins a word."""
+        ids = np.asarray(self._bpe.encode_ordinary(" " + " ".join(words)), "<u2")
+        begins = np.flatnonzero(self._begins_word[ids])
+        if len(begins) != len(words):
+            raise AssertionError("a word without a token of its own")
+        whole = ids.tobytes()
+        cuts = [*(2 * begins).tolist(), len(whole)]
+        self._known.update((word, whole[a:b]) for word, a, b in zip(words, cuts, cuts[1:], strict=False))
+
 
 def _encoder(path: str) -> Encoder:
     if path not in _WORKER:
