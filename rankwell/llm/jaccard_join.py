@@ -296,7 +296,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, set_key), one row for every row of ``docs``; ``set_key`` names the set.
 
     Two documents link when the overlap of their sets of ``words``-word shingles is at least ``percent`` of the union;
     component_id is the smallest id that links lead to, the document's own included. Equal sets are one class, of which
@@ -332,7 +332,33 @@ def near_duplicates(
     named = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = materialize(joined.join(named, "component").select("key", "component_id"), "jaccard-components")
     own = known.join(named, "key", "left")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = F.coalesce("component_id", "doc_id").alias("component_id")
+    return own.select("doc_id", F.col("n").alias("n_shingles"), component, F.col("key").alias("set_key"))
+
+
+def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every component, that with its smallest id; all columns as they were.
+
+    Of rows that share an id and a set one stays, and so does one of rows without an id whose set no row with an id has.
+    Rows without shingles all stay, but for repetitions of an id and a text.
+    """
+    found = near_duplicates(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
+    found = found.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    found = found.select(F.col("doc_id").alias("__keep_id"), F.col("set_key").alias("__keep_key")).distinct()
+
+    @F.pandas_udf("long")
+    def key_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            keys: list[int | None] = []
+            for start in range(0, len(texts), _PART):
+                keys += [class_key(s) if len(s) else None for s in shingle_sets(texts.iloc[start : start + _PART].tolist(), words)]
+            yield pd.Series(keys, dtype="Int64")
+
+    marked = docs.withColumn("__set_key", key_of(docs[text_col].cast("string")))
+    same = marked[id_col].eqNullSafe(found["__keep_id"]) & marked["__set_key"].eqNullSafe(found["__keep_key"])
+    kept = marked.join(found, same, "left_semi")
+    kept = kept.withColumn("__text_key", F.when(F.col("__set_key").isNull(), F.xxhash64(kept[text_col])))
+    return kept.dropDuplicates([id_col, "__set_key", "__text_key"]).drop("__set_key", "__text_key")
 
 
 def query(docs: DataFrame) -> DataFrame:

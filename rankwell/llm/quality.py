@@ -171,6 +171,11 @@ def quality_score(model: QualityModel) -> Column:
     return score
 
 
+def keep_good(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """``docs`` with the rows whose score is ``threshold`` or more; all columns as they were."""
+    return docs.filter(quality_score(model)(docs[text_col].cast("string")) >= threshold)
+
+
 def tag_lines(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, lines): for every line of the text, in order, the probability that it is good.
 

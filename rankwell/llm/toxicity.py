@@ -190,6 +190,11 @@ def _share(model):
     return SparkSession.active().sparkContext.broadcast(model)  # at most the forms of the training rows
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose score is ``threshold`` or more; all columns as they were."""
+    return docs.filter(toxicity_score(model)(docs[text_col].cast("string")) < threshold)
+
+
 def tag_toxic_spans(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, spans): spans are (start, end, probability), in characters of the whole text.
 

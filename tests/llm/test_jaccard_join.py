@@ -58,7 +58,7 @@ def near_copies(seed, n=40):
 def test_components_against_brute_force(spark, options):
     rows = near_copies(1)
     got = near_duplicates(spark.createDataFrame([(i, t, 0, 0) for i, t in rows], DOCS), **options).collect()
-    assert sorted(tuple(r) for r in got) == brute(rows)
+    assert sorted(tuple(r)[:3] for r in got) == brute(rows)
 
 
 def test_local_join_against_all_pairs():
@@ -93,7 +93,7 @@ def test_large_group_of_near_copies_and_copies(spark):
         rows.append((i, " ".join(copy)))
     rows += [(1000 + i, rows[3][1]) for i in range(100)]
     got = near_duplicates(spark.createDataFrame([(i, t, 0, 0) for i, t in rows], DOCS), block_rows=40).collect()
-    assert sorted(tuple(r) for r in got) == brute(rows)
+    assert sorted(tuple(r)[:3] for r in got) == brute(rows)
 
 
 def test_empty_repeated_and_null_ids(spark):
