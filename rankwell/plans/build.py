@@ -18,7 +18,8 @@ class Index:
     """Index tables, lazy or read from storage; ``postings`` and ``doc_stats`` are kept per field.
 
     docs: ord, doc_id, topic, question. postings: field, term, ord, tf, positions, dl. doc_stats: field, ord,
-    num_tokens, dl. term_stats: field, term, df, ttf. collection_stats: field, max_doc, sum_ttf, avgdl.
+    num_tokens, dl. term_stats: field, term, df, ttf. collection_stats: field, max_doc, sum_ttf, avgdl. Stored postings also
+    have term_slot, one of ``slots`` hashes of the term.
     """
 
     docs: DataFrame
@@ -27,6 +28,7 @@ class Index:
     term_stats: dict[str, DataFrame]
     collection_stats: DataFrame
     stored: bool = False
+    slots: int = 0
 
     def all_postings(self) -> DataFrame:
         return _union(self.postings)

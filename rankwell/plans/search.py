@@ -19,8 +19,9 @@ from rankwell.schema import QUESTION, QUESTION_FIELD
 from rankwell.sources.scratch import materialize
 
 
-# Up to this many distinct query words go into the scans as an IN list, which parquet checks per row group. Every later
-# planning step walks the list, so a longer one costs more than it saves.
+# Up to this many distinct query words go into the scans as equalities, which parquet checks per row group (of a longer
+# IN list it only checks the least and the largest word). Beyond that the slots of the words, which are directories, prune
+# the scan; every later planning step walks the equalities, so more of them would cost more than they save.
 PUSHED_TERMS = 256
 
 # Punctuation between two word characters of one chunk: only there can a chunk fall into several terms.
@@ -45,7 +46,8 @@ class Batch:
 
 def inspect(queries: DataFrame) -> Batch:
     """One pass over the query bodies."""
-    operator = "|".join(OPERATORS)
+    # a chunk of its own, or joined to another by white space only; a longer word that holds one is none
+    operator = rf"(^|[ \t\r\n\u3000])({'|'.join(OPERATORS)})([ \t\r\n\u3000]|$)"
     count, size, longest, operators, compound = queries.agg(
         F.count(F.lit(1)),
         F.coalesce(F.sum(F.octet_length("body").cast("long")), F.lit(0)),
@@ -72,11 +74,18 @@ def _only(table: DataFrame, words: list[str] | None) -> DataFrame:
     """Rows of the given words; all rows if there is no list."""
     if words is None:
         return table
-    # One parsed expression instead of one call per literal.
-    simple = ", ".join(f"'{word}'" for word in words if "'" not in word)
-    quoted = [word for word in words if "'" in word]
-    wanted = F.col("term").isin(quoted) if quoted else F.lit(False)
-    return table.filter(F.expr(f"term IN ({simple})") | wanted if simple else wanted)
+    tests = [F.col("term") == word for word in words] or [F.lit(False)]
+    while len(tests) > 1:  # a balanced tree stays shallow
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2], strict=False)] + tests[len(tests) & ~1 :]
+    return table.filter(tests[0])
+
+
+def _slots(postings: DataFrame, terms: DataFrame, slots: int) -> DataFrame:
+    """Stored postings cut to the directories that can hold a query word; no more numbers come back than there are slots."""
+    if not slots:
+        return postings
+    wanted = [row[0] for row in terms.select(F.pmod(F.hash("term"), F.lit(slots))).distinct().collect()]
+    return postings.filter(F.col("term_slot").isin(wanted)).drop("term_slot")
 
 
 @dataclass(frozen=True)
@@ -101,10 +110,11 @@ def score(
     sim = resolve_similarity(sim)
     batch = batch or inspect(queries)
     terms = clause_terms(queries, "standard" if synonyms is None else "synonym", synonyms, batch.operators)
+    if synonyms is not None or index.stored:
+        terms = materialize(terms, "query-terms")
     if synonyms is None:
         count, size = batch.terms, batch.size
     else:
-        terms = materialize(terms, "query-terms")
         count, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term").cast("long")), F.lit(0))).first()
     small = count <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     words = None
@@ -121,7 +131,7 @@ def score(
         small,
         pruned=words is not None,
     )
-    postings = _only(index.postings[field], words)
+    postings = _only(_slots(index.postings[field], terms, index.slots), words)
     if plain:
         rows = score_terms(weighted, postings, sim, small, norms, **params)
     else:
@@ -144,8 +154,9 @@ def search(
 
     ``queries(id, topic, body, ord)``: the body is the query, ``ord`` tells repeated ids apart. ``field`` is the
     document field searched. With ``synonyms`` the queries are expanded as the index was. ``params``: k1, b, mu, lam.
-    ``totals=False`` leaves the column out and saves counting the matches. Over a stored index the few hits of a small
-    batch are worked out at once and written down, so that every use of the result reads those.
+    ``totals=False`` leaves the column out and saves counting the matches. Over a stored index the hits, at most ``k``
+    rows a query, are worked out at once and written down, whatever the size of the batch: the result stays as it was
+    when the index is written to afterwards. Over an index that is not stored everything stays lazy.
     """
     rules = None if synonyms is None else SynonymRules.of(synonyms)
     batch = inspect(queries)
@@ -156,7 +167,7 @@ def search(
     if totals:
         counted = total_hits(scores.rows)
         hits = hits.join(F.broadcast(counted) if few else counted, "query_ord")
-    if few and index.stored:
+    if index.stored:
         hits = materialize(hits, "hits")
     hits = fetch_fields(hits, index.docs, small=few)
     ids = accepted.select(F.col("ord").alias("query_ord"), F.col("id").alias("query_id"))

@@ -1,16 +1,22 @@
 """Index tables in a folder: parquet, overwritten or appended to in batches.
 
-Postings are bucketed by document, and sorted by term inside a bucket. All postings of a document share a bucket, so a
-search sums scores without a shuffle and a frequent term is spread over every bucket; the sort lets row-group
-statistics skip what no query asks for. Statistics are sums per batch, added up on reading, so an append never has to
-read the old postings.
+Every write makes a batch of its own: a folder ``batches/<name>`` that nothing else touches, and at the end one row in
+``published``, which makes it exist for readers. An overwrite publishes a higher generation, and only the highest one
+is read; so a write that dies half-way changes nothing, and readers never see a mixture. Statistics are sums per batch,
+added up on reading, so an append never reads what is stored.
+
+Postings lie in directories by ``term_slot``, a hash of the term, so that a search opens only the slots of its words;
+inside they are bucketed by document, which lets scores be summed without a shuffle, and sorted by term, which lets
+row-group statistics skip most of a file. The bucketed table is put into the catalog once, at write time; where the
+catalog does not know it, the files are read as they are.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -19,39 +25,55 @@ from rankwell.operators.ranking import docs_per_block
 from rankwell.plans.build import Index, build_index
 from rankwell.schema import FIELDS
 
+SLOTS = 64  # directories of postings
+BYTES_PER_BUCKET = 256 << 20  # of text
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
+_PUBLISHED = (
+    "generation long, batch string, next_ord long, buckets int, slots int, "
+    "fields array<struct<field: string, max_doc: long, sum_ttf: long>>"
+)
+_DOCS = "ord long, doc_id string, topic string, question string, ord_block long"
+_POSTINGS = "field string, term string, ord long, tf long, positions array<int>, dl long, term_slot int"
+_DOC_STATS = "field string, ord long, num_tokens long, dl long"
+_TERM_STATS = "field string, term string, df long, ttf long"
+
+
+def term_slot(slots: int) -> Column:
+    return F.pmod(F.hash("term"), F.lit(slots))
+
+
+def _published(spark: SparkSession, path: str) -> list:
+    """The batches of the newest generation, in order; one row per write, so they are few."""
     try:
-        return spark.read.parquet(path)
+        rows = spark.read.schema(_PUBLISHED).parquet(f"{path}/published")
+        newest = rows.agg(F.max("generation")).first()[0]
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return None
+            return []
         raise
+    return rows.filter(F.col("generation") == newest).orderBy("next_ord", "batch").collect() if newest is not None else []
 
 
-def _postings_path(path: str, field: str) -> str:
-    return f"{path}/postings_{field}"
-
+def _table_name(batch: str, field: str) -> str:
+    return f"rankwell_{field}_{batch}"
 
-def _table_name(path: str, field: str) -> str:
-    return f"rankwell_{field}_{hashlib.md5(_postings_path(path, field).encode()).hexdigest()[:16]}"
 
+def _dense(questions: DataFrame, first_ord: int) -> DataFrame:
+    """``questions`` numbered from ``first_ord`` without gaps, in the order of ``ord``.
 
-def _buckets(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(f"{path}/layout").first()["buckets"]
-
-
-def _register(spark: SparkSession, path: str, field: str) -> str:
-    """Catalog entry over the bucketed files, which is what tells the planner how they are spread."""
-    name = _table_name(path, field)
-    schema = spark.read.parquet(_postings_path(path, field)).schema
-    columns = ", ".join(f"`{column.name}` {column.dataType.simpleString()}" for column in schema)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (ord) SORTED BY (term) "
-        f"INTO {_buckets(spark, path)} BUCKETS LOCATION '{_postings_path(path, field)}'"
-    )
-    return name
+    The offsets come from one row per range of ``ord``, found by sorting; no window runs over all rows.
+    """
+    spark = questions.sparkSession
+    ranged = questions.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("part", F.spark_partition_id())
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # one row per task
+    starts, total = {}, first_ord
+    for row in counts:
+        starts[row["part"]], total = total, total + row["n"]
+    offsets = spark.createDataFrame(list(starts.items()) or [(0, first_ord)], "part int, start long")
+    # monotonically_increasing_id counts inside a task; its upper bits are the task
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    numbered = ranged.withColumn("within", within).join(F.broadcast(offsets), "part")
+    return numbered.withColumn("ord", F.col("start") + F.col("within")).drop("part", "start", "within")
 
 
 def write_index(
@@ -64,75 +86,72 @@ def write_index(
 ) -> None:
     """Index ``(id, topic, body, ord)`` into ``path``.
 
-    ``overwrite`` drops earlier documents; ``append`` adds to them (and creates the index if there is none). A
-    repeated document id is stored twice. ``collection_stats`` is written last: a batch that is not in it does not
-    exist for readers, so an append that dies half-way leaves no trace in results. ``buckets`` (default: the shuffle
-    partitions of the session) should give each bucket a few hundred megabytes of text.
+    ``overwrite`` drops earlier documents; ``append`` adds to them (and creates the index if there is none) and takes
+    the same ``fields``. Ordinals are made dense in the order of ``ord``, after those stored. A repeated document id is
+    stored twice. No questions make an index without documents. ``buckets`` of the first batch follow its text bytes
+    unless given; later batches keep the number, so that their sums stay in their buckets together, unless they need
+    four times as many.
     """
     if mode not in ("overwrite", "append"):
         raise ValueError("mode must be 'overwrite' or 'append'")
     spark = questions.sparkSession
-    old = _read(spark, f"{path}/docs") if mode == "append" else None
-    if old is None:
-        mode, batch, first_ord = "overwrite", 0, 0
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
-    else:
-        last = old.agg(F.max("ord"), F.max("batch")).first()
-        first_ord, batch = last[0] + 1, last[1] + 1
-        buckets = _buckets(spark, path)
-    index = build_index(questions.withColumn("ord", F.col("ord") + first_ord), synonyms, fields, buckets)
-
+    stored = _published(spark, path)
+    generation = stored[0]["generation"] if stored else 0
+    older = []
+    if mode == "overwrite" and stored:
+        older, stored, generation = stored, [], generation + 1
+    if stored and {row["field"] for row in stored[0]["fields"]} != set(fields):
+        raise ValueError(f"the index holds the fields {sorted(row['field'] for row in stored[0]['fields'])}")
+    first_ord = max((row["next_ord"] for row in stored), default=0)
+    size = sum((F.coalesce(F.octet_length(column), F.lit(0)).cast("long") for column in ("topic", "body")), F.lit(0))
+    count, bytes_ = questions.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    wanted = buckets or max(1, -(-bytes_ // BYTES_PER_BUCKET), min(spark.sparkContext.defaultParallelism, 1 + bytes_ // (1 << 20)))
+    if stored and not buckets and wanted <= 4 * stored[0]["buckets"]:
+        wanted = stored[0]["buckets"]
+
+    batch = uuid.uuid4().hex
+    folder = f"{path}/batches/{batch}"
+    index = build_index(_dense(questions, first_ord), synonyms, fields, wanted)
     block = F.floor(F.col("ord") / docs_per_block()).cast("long")
-    (
-        index.docs.withColumn("batch", F.lit(batch))
-        .withColumn("ord_block", block)
-        .repartitionByRange("ord")
-        .sortWithinPartitions("ord")
-        .write.mode(mode)
-        .partitionBy("ord_block")
-        .parquet(f"{path}/docs")
-    )
+    docs = index.docs.withColumn("ord_block", block)
+    docs.repartitionByRange("ord").sortWithinPartitions("ord").write.partitionBy("ord_block").parquet(f"{folder}/docs")
+    totals = []
     for field in fields:
-        if mode == "append":
-            _register(spark, path, field)
-        name = _table_name(path, field)
-        if mode == "overwrite":
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
         (
             index.postings[field]
-            .withColumn("batch", F.lit(batch))
-            .write.mode(mode)
-            .bucketBy(buckets, "ord")
+            .withColumn("term_slot", term_slot(SLOTS))
+            .write.partitionBy("term_slot")
+            .bucketBy(wanted, "ord")
             .sortBy("term")
-            .option("path", _postings_path(path, field))
-            .saveAsTable(name)
+            .option("path", f"{folder}/postings_{field}")
+            .saveAsTable(_table_name(batch, field))
         )
-        written = spark.table(_register(spark, path, field)).filter(F.col("batch") == batch)
-        (
-            term_stats(written)
-            .withColumn("batch", F.lit(batch))
-            .sortWithinPartitions("term")
-            .write.mode(mode)
-            .parquet(f"{path}/term_stats_{field}")
-        )
-        (
-            _doc_stats(spark.read.parquet(f"{path}/docs").filter(F.col("batch") == batch), written, field)
-            .withColumn("batch", F.lit(batch))
-            .write.mode(mode)
-            .parquet(f"{path}/doc_stats_{field}")
-        )
-    stats = [
-        spark.read.parquet(f"{path}/doc_stats_{field}")
-        .filter(F.col("batch") == batch)
-        .agg(F.count(F.lit(1)).alias("max_doc"), F.coalesce(F.sum("num_tokens"), F.lit(0)).alias("sum_ttf"))
-        .select(F.lit(field).alias("field"), "max_doc", "sum_ttf", F.lit(batch).alias("batch"))
-        for field in fields
-    ]
-    totals = stats[0]
-    for more in stats[1:]:
-        totals = totals.unionByName(more)
-    totals.coalesce(1).write.mode(mode).parquet(f"{path}/collection_stats")
+        written = _postings(spark, folder, batch, field)
+        by_term = term_stats(written).repartitionByRange("term").sortWithinPartitions("term")
+        by_term.write.parquet(f"{folder}/term_stats_{field}")
+        lengths = _doc_stats(_table(spark, folder, "docs", _DOCS), written, field)
+        lengths.write.parquet(f"{folder}/doc_stats_{field}")
+        sums = _table(spark, folder, f"doc_stats_{field}", _DOC_STATS).agg(F.count("*"), F.coalesce(F.sum("num_tokens"), F.lit(0)))
+        totals.append((field, *sums.first()))
+    row = (generation, batch, first_ord + count, wanted, SLOTS, totals)
+    spark.createDataFrame([row], _PUBLISHED).coalesce(1).write.mode("append").parquet(f"{path}/published")
+    for row in older:  # no reader comes this way any more: leave empty tables
+        for name in ("docs", *(f"{kind}_{f['field']}" for kind in ("postings", "term_stats", "doc_stats") for f in row["fields"])):
+            spark.createDataFrame([], "ord long").write.mode("overwrite").parquet(f"{path}/batches/{row['batch']}/{name}")
+        for f in row["fields"]:
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(row['batch'], f['field'])}")
+
+
+def _table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+
+def _postings(spark: SparkSession, folder: str, batch: str, field: str) -> DataFrame:
+    """The bucketed table where this session's catalog knows it, else its files."""
+    name = _table_name(batch, field)
+    if spark.catalog.tableExists(name):
+        return spark.table(name)
+    return _table(spark, folder, f"postings_{field}", _POSTINGS)
 
 
 def _doc_stats(docs: DataFrame, postings: DataFrame, field: str) -> DataFrame:
@@ -142,35 +161,45 @@ def _doc_stats(docs: DataFrame, postings: DataFrame, field: str) -> DataFrame:
     return docs.select("ord").join(lengths, "ord", "left").select(
         F.lit(field).alias("field"),
         "ord",
-        F.coalesce("num_tokens", F.lit(0)).alias("num_tokens"),
-        F.coalesce("dl", F.lit(0)).alias("dl"),
+        F.coalesce("num_tokens", F.lit(0)).cast("long").alias("num_tokens"),
+        F.coalesce("dl", F.lit(0)).cast("long").alias("dl"),
     )
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """Index tables of ``path``; statistics are summed over its batches."""
-    totals = spark.read.parquet(f"{path}/collection_stats")
-    rows = totals.select("field", "batch").distinct().collect()  # fields x appends
-    fields = sorted({row["field"] for row in rows})
-    complete = F.col("batch").isin(sorted({row["batch"] for row in rows}))
+    """Index tables of ``path``, put together from its published batches; reading changes nothing."""
+    batches = _published(spark, path)
+    if not batches:
+        raise FileNotFoundError(f"no index has been written to {path}")
+    fields = sorted(row["field"] for row in batches[0]["fields"])
+
+    def together(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(*(f"{path}/batches/{row['batch']}/{name}" for row in batches))
 
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/{name}").filter(complete).drop("batch")
+    def documents() -> DataFrame:
+        parts = [_table(spark, f"{path}/batches/{row['batch']}", "docs", _DOCS) for row in batches]
+        return reduce(DataFrame.unionByName, parts)
 
+    def postings(field: str) -> DataFrame:
+        parts = [_postings(spark, f"{path}/batches/{row['batch']}", row["batch"], field) for row in batches]
+        return reduce(DataFrame.unionByName, parts)
+
+    totals = [(f["field"], f["max_doc"], f["sum_ttf"]) for row in batches for f in row["fields"]]
     return Index(
-        docs=table("docs"),
-        postings={
-            field: spark.table(_register(spark, path, field)).filter(complete).drop("batch") for field in fields
-        },
-        doc_stats={field: table(f"doc_stats_{field}") for field in fields},
+        docs=documents(),
+        postings={field: postings(field) for field in fields},
+        doc_stats={field: together(f"doc_stats_{field}", _DOC_STATS) for field in fields},
         term_stats={
-            field: table(f"term_stats_{field}")
+            field: together(f"term_stats_{field}", _TERM_STATS)
             .groupBy("field", "term")
             .agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"))
             for field in fields
         },
         collection_stats=with_average_length(
-            totals.groupBy("field").agg(F.sum("max_doc").alias("max_doc"), F.sum("sum_ttf").alias("sum_ttf"))
+            spark.createDataFrame(totals, "field string, max_doc long, sum_ttf long")
+            .groupBy("field")
+            .agg(F.sum("max_doc").alias("max_doc"), F.sum("sum_ttf").alias("sum_ttf"))
         ),
         stored=True,
+        slots=batches[0]["slots"],
     )

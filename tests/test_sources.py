@@ -2,7 +2,9 @@ import random
 from contextlib import redirect_stdout
 from io import StringIO
 
+import duckdb
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from rankwell import (
     adhoc_query,
@@ -22,6 +24,8 @@ from rankwell import (
     write_results,
     write_xml,
 )
+from rankwell.schema import QUESTION
+from verification.oracle import questions_sql
 
 QUIRKS = [
     "preface text", "[1] First ", " body a ", "ok", "", "body b", "[]ghost", "ghost body", "[2]", "see [3] inside",
@@ -59,23 +63,12 @@ def test_parser_over_many_splits(spark, tmp_path, tiny_splits):
     assert _questions(spark, tmp_path) == GOLDEN
 
 
-def _parse(lines):
-    """Plain re-statement of the reading rules, one line at a time."""
-    found, pending, open_id, topic = [], [], "", ""
-    for line in lines:
-        if len(line) <= 2:
-            continue
-        if "[" in line and "]" in line:
-            left, right = line.index("["), line.index("]")
-            if right < left:
-                continue
-            if open_id:
-                found.append((open_id, topic, "".join(pending)))
-                pending = []
-            open_id, topic = line[left + 1 : right], line[right + 1 :].strip()
-        else:
-            pending.append(line.strip())
-    return found + ([(open_id, topic, "".join(pending))] if open_id else [])
+def _expected(files):
+    """The questions of files, by SQL over numbered lines."""
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE lines (file VARCHAR, line_no INTEGER, value VARCHAR)")
+    connection.executemany("INSERT INTO lines VALUES (?, ?, ?)", [(f, n, v) for f in files for n, v in enumerate(files[f])])
+    return [row[:3] for row in connection.execute(f"SELECT id, topic, body, ord FROM ({questions_sql('lines')}) ORDER BY ord").fetchall()]
 
 
 def test_random_files_match_line_by_line_reading(spark, tmp_path, tiny_splits):
@@ -84,8 +77,7 @@ def test_random_files_match_line_by_line_reading(spark, tmp_path, tiny_splits):
     files = {f"f{n}.txt": [rng.choice(pieces) for _ in range(rng.randint(1, 25))] for n in range(4)}
     for name, lines in files.items():
         (tmp_path / name).write_text("\n".join(lines))
-    expected = [question for name in sorted(files) for question in _parse(files[name])]
-    assert [row[:3] for row in _questions(spark, tmp_path)] == expected
+    assert [row[:3] for row in _questions(spark, tmp_path)] == _expected(files)
 
 
 def test_rejected_headers(spark, tmp_path):
@@ -123,9 +115,9 @@ def test_store_append_equals_one_build(spark, questions, tmp_path):
     assert "Bucketed: true" in plan.getvalue() and "hashpartitioning(ord" not in plan.getvalue()
     assert "hashpartitioning(query_ord#" not in plan.getvalue().split("BroadcastExchange")[0]
 
-    # A batch that never reached the collection statistics is not there.
-    orphan = spark.read.parquet(f"{both}/docs").limit(1).selectExpr("ord + 9 AS ord", "doc_id", "topic", "question", "9 AS batch", "ord_block")
-    orphan.write.mode("append").partitionBy("ord_block").parquet(f"{both}/docs")
+    # A batch that never was published is not there.
+    (spark.read.parquet(f"{both}/published").limit(0)).write.mode("append").parquet(f"{both}/published")
+    spark.range(3).write.parquet(f"{both}/batches/orphan/docs")
     assert index_count(read_index(spark, both)).first()["documents"] == 5
 
     write_index(second, both, "overwrite")
@@ -134,6 +126,70 @@ def test_store_append_equals_one_build(spark, questions, tmp_path):
         write_index(second, both, "update")
 
 
+STEPS = ["docs", "postings_question", "term_stats_question", "doc_stats_question", "postings_topic", "published"]
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_a_write_that_stops_leaves_the_old_index_whole(spark, questions, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "index")
+    write_index(questions(("a", "x", "sugar free sugar"), ("b", "y", "the")), path)
+    before = _contents(read_index(spark, path))
+    plain = DataFrameWriter.parquet
+
+    def stopping(self, target, *more, **options):
+        if target.endswith(f"/{step}"):
+            raise KeyboardInterrupt
+        return plain(self, target, *more, **options)
+
+    saved = DataFrameWriter.saveAsTable
+
+    def stopping_table(self, name, *more, **options):
+        if step.startswith("postings_") and step.removeprefix("postings_") in name:
+            raise KeyboardInterrupt
+        return saved(self, name, *more, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", stopping)
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", stopping_table)
+    for mode in ("overwrite", "append"):
+        with pytest.raises(KeyboardInterrupt):
+            write_index(questions(("c", "z", "cream")), path, mode)
+    monkeypatch.undo()
+    index = read_index(spark, path)
+    assert _contents(index) == before and index_count(index).first()["documents"] == 2
+
+
+def test_empty_index_is_filled_later(spark, questions, tmp_path):
+    path = str(tmp_path / "index")
+    write_index(questions().limit(0), path)
+    assert index_count(read_index(spark, path)).first()["documents"] == 0
+    assert search_text("sugar", read_index(spark, path)).count() == 0
+    write_index(questions(("a", "x", "sugar")), path, "append")
+    assert [r["doc_id"] for r in search_text("sugar", read_index(spark, path)).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        write_index(questions(("b", "x", "sugar")), path, "append", fields=("question",))
+    with pytest.raises(FileNotFoundError):
+        read_index(spark, str(tmp_path / "nothing"))
+
+
+def test_sparse_ordinals_become_dense(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = [(f"d{i}", "t", f"word{i}", (i * 2654435761) % (1 << 60)) for i in range(50)]
+    write_index(spark.createDataFrame(rows, QUESTION), path)
+    stored = read_index(spark, path).docs.orderBy("ord").collect()
+    assert [r["ord"] for r in stored] == list(range(50))
+    assert [r["doc_id"] for r in stored] == [r[0] for r in sorted(rows, key=lambda r: r[3])]
+
+
+def test_a_catalog_that_does_not_know_the_tables(spark, questions, tmp_path):
+    path = str(tmp_path / "index")
+    write_index(questions(("a", "x", "sugar free sugar"), ("b", "y", "cream")), path)
+    whole = _contents(read_index(spark, path))
+    for table in spark.catalog.listTables():
+        if table.name.startswith("rankwell_"):
+            spark.sql(f"DROP TABLE {table.name}")
+    assert _contents(read_index(spark, path)) == whole
+
+
 def test_results_and_report(spark, questions, tmp_path):
     from rankwell import build_index
 

@@ -47,6 +47,16 @@ def read_questions(spark, sf_dir):
     return rw.read_questions(spark, inputs.bracket_file(spark, sf_dir))
 
 
+@query
+def read_quirky_questions(spark, sf_dir):
+    return rw.read_questions(spark, inputs.quirky_file(spark, sf_dir))
+
+
+@query
+def rejected_lines(spark, sf_dir):
+    return rw.rejected_lines(spark, inputs.quirky_file(spark, sf_dir)).select("value")
+
+
 @query
 def drop_short_lines(spark, sf_dir):
     lines = rw.drop_short_lines(read_lines(spark, inputs.bracket_file(spark, sf_dir)))
@@ -150,11 +160,7 @@ def nostop_chain(spark, sf_dir):
 def expand_synonyms(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select("doc_id", rw.tokenize(lower("text")).alias("words"))
     expanded = rw.expand_synonyms(words, "words", inputs.synonyms(spark, sf_dir), ["doc_id"])
-    counts = expanded.select("doc_id", F.col("tokens")["pos"].alias("pos"), F.col("tokens")["term"].alias("term"))
-    return counts.select(
-        "doc_id", F.size("pos").alias("tokens"), F.size(F.array_distinct("pos")).alias("positions"),
-        F.size(F.array_distinct("term")).alias("terms"),
-    )
+    return expanded.select("doc_id", joined())
 
 
 @query
@@ -276,7 +282,7 @@ def write_index_append(spark, sf_dir):
 @query
 def append_corpora(spark, sf_dir):
     both = rw.append_corpora(corpus(spark, sf_dir), inputs.turns(spark, sf_dir))
-    return both.select("id", "topic", "ord")
+    return both.select("id", "topic", "body", "ord")
 
 
 @query
@@ -439,7 +445,7 @@ def search_with_operators(spark, sf_dir):
 
 @query
 def sample_queries(spark, sf_dir):
-    return rw.sample_queries(inputs.turns(spark, sf_dir), 100, 10).select("id", "topic", "ord")
+    return rw.sample_queries(inputs.turns(spark, sf_dir), 100, 10).select("id", "topic", "body", "ord")
 
 
 @query

@@ -76,6 +76,29 @@ def bracket_file(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def quirky_file(spark: SparkSession, sf_dir: str) -> str:
+    """``bracket_file`` with leading text, headers without an id, reversed brackets, brackets inside lines, short lines
+    and control characters; one file, because text may belong to the header after it."""
+    path = scratch(spark, "quirks")
+
+    def every(n: int, rest: int, *parts: Column | str) -> Column:
+        text = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+        return F.when(F.col("doc_id") % n == rest, text).otherwise("")
+
+    text = F.concat(
+        F.when(F.col("doc_id") == 0, "leading text\n").otherwise(""),
+        every(7, 1, "[]ghost\n ghost body \n"),
+        F.lit("["), F.col("doc_id").cast("string"), F.lit("]\x01 "), "lang", every(5, 2, "\t", F.col("source"), "\x02"), F.lit("\n"),
+        every(11, 3, "] wrong [ way ", F.col("doc_id").cast("string"), "\n"),
+        every(13, 4, "see [", F.col("source"), "] inside\n"),
+        "text",
+        every(17, 5, "\nab\n[] last ghost\nlost or carried on"),
+    )
+    documents = table(spark, sf_dir, "documents").coalesce(1).sortWithinPartitions("doc_id")
+    documents.select(text.alias("value")).write.text(path)
+    return path
+
+
 def _prolog(synsets: DataFrame) -> DataFrame:
     quoted = F.replace("word", F.lit("'"), F.lit("''"))
     return (

@@ -278,6 +278,57 @@ def _search_text() -> str:
     return _search(4, queries=longest)
 
 
+def questions_sql(lines: str) -> str:
+    """Questions of numbered lines (file, line_no, value), by running counts of headers."""
+    return f"""
+WITH kept AS (SELECT *, strpos(value, '[') AS opening, strpos(value, ']') AS closing FROM {lines} WHERE length(value) > 2),
+parsed AS (SELECT file, line_no, opening > 0 AND closing > 0 AS header, {_TRIM.format("value")} AS text,
+    CASE WHEN opening > 0 AND closing > 0 THEN substr(value, opening + 1, closing - opening - 1) END AS id,
+    CASE WHEN opening > 0 AND closing > 0 THEN {_TRIM.format("substr(value, closing + 1)")} END AS topic
+  FROM kept WHERE NOT (opening > 0 AND closing > 0 AND closing < opening)),
+counted AS (SELECT *, count(*) FILTER (id <> '') OVER run AS opened, last_value(CASE WHEN header THEN id <> '' END IGNORE NULLS) OVER run AS within
+  FROM parsed WINDOW run AS (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+owned AS (SELECT *, opened + CASE WHEN within THEN 0 ELSE 1 END AS number FROM counted),
+questions AS (SELECT file, number, max(id) FILTER (id <> '') AS id, max(topic) FILTER (id <> '') AS topic,
+    coalesce(string_agg(text, '' ORDER BY line_no) FILTER (NOT header), '') AS body
+  FROM owned GROUP BY file, number HAVING count(*) FILTER (id <> '') > 0)
+SELECT id, topic, body, row_number() OVER (ORDER BY file, number) - 1 AS ord FROM questions"""
+
+
+# Documents as bracket text with everything a reader can stumble over, one numbered line a row.
+_QUIRK_LINES = """
+SELECT 'one' AS file, row_number() OVER (ORDER BY doc_id, n) AS line_no, value FROM (
+  SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS value FROM (SELECT doc_id, string_split_regex(
+    CASE WHEN doc_id = 0 THEN 'leading text' || chr(10) ELSE '' END
+    || CASE WHEN doc_id % 7 = 1 THEN '[]ghost' || chr(10) || ' ghost body ' || chr(10) ELSE '' END
+    || '[' || doc_id || ']' || chr(1) || ' ' || lang || CASE WHEN doc_id % 5 = 2 THEN chr(9) || source || chr(2) ELSE '' END || chr(10)
+    || CASE WHEN doc_id % 11 = 3 THEN '] wrong [ way ' || doc_id || chr(10) ELSE '' END
+    || CASE WHEN doc_id % 13 = 4 THEN 'see [' || source || '] inside' || chr(10) ELSE '' END
+    || text || CASE WHEN doc_id % 17 = 5 THEN chr(10) || 'ab' || chr(10) || '[] last ghost' || chr(10) || 'lost or carried on' ELSE '' END,
+    '\r\n|\r|\n') AS l FROM documents))"""
+
+# Two-word synonym rules, the greedy choice from the left as a walk from each chosen match to the next, and what it gives.
+_PHRASE_FRAGMENTS = {
+    "pairs": "SELECT a.term AS a, b.term AS b FROM bench_words a JOIN bench_words b ON a.item_id = b.item_id AND b.pos = a.pos + 1 "
+    "WHERE a.pos % 2 = 0",
+    "phrase_rules": "SELECT a || ' ' || b AS input, 2 AS len, a || ' ' || b AS output FROM pairs UNION SELECT a || ' ' || b, 2, a || b FROM pairs "
+    "UNION SELECT a || b, 1, a || ' ' || b FROM pairs UNION SELECT a || b, 1, a || b FROM pairs",
+    "word_pairs": "SELECT ord, pos, term, term || ' ' || lead(term) OVER (PARTITION BY ord ORDER BY pos) AS two FROM doc_words",
+    "phrase_candidates": "SELECT ord, pos AS start, CASE WHEN t.input IS NOT NULL THEN 2 ELSE 1 END AS len, coalesce(t.input, o.input) AS input "
+    "FROM word_pairs LEFT JOIN (SELECT DISTINCT input FROM phrase_rules WHERE len = 2) t ON t.input = two "
+    "LEFT JOIN (SELECT DISTINCT input FROM phrase_rules WHERE len = 1) o ON o.input = term WHERE coalesce(t.input, o.input) IS NOT NULL",
+    "phrase_steps": "SELECT *, CASE WHEN lead(start) OVER w >= start + len THEN lead(start) OVER w ELSE lead(start, 2) OVER w END AS following, "
+    "row_number() OVER w AS nth FROM phrase_candidates WINDOW w AS (PARTITION BY ord ORDER BY start)",
+    "phrase_chosen": "SELECT ord, start, len, input, following FROM phrase_steps WHERE nth = 1 UNION ALL SELECT s.ord, s.start, s.len, s.input, s.following "
+    "FROM phrase_chosen c JOIN phrase_steps s ON s.ord = c.ord AND s.start = c.following",
+    "phrase_outputs": "SELECT ord, start, string_split(output, ' ') AS w FROM phrase_chosen c JOIN phrase_rules r ON r.input = c.input AND r.len = c.len",
+    "phrase_words": "SELECT ord, start + generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS term FROM phrase_outputs UNION ALL "
+    "SELECT d.ord, d.pos, d.term FROM doc_words d WHERE NOT EXISTS (SELECT 1 FROM phrase_chosen c WHERE c.ord = d.ord AND "
+    "(c.start = d.pos OR (c.len = 2 AND c.start + 1 = d.pos)))",
+    "phrase_tokens": f"SELECT ord, pos, term FROM phrase_words WHERE term NOT IN ({_STOP})",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     matched = _search(
         1,
@@ -335,11 +386,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "standard_chain": with_ctes(_joined("tokens", "documents", "doc_id"), "tokens"),
         "nostop_chain": with_ctes(_joined("doc_words", "documents", "doc_id"), "doc_words"),
-        "expand_synonyms": with_ctes(
-            "SELECT c.ord AS doc_id, count(s.ord)::INTEGER AS tokens, count(DISTINCT pos)::INTEGER AS positions, "
-            "count(DISTINCT term)::INTEGER AS terms FROM corpus c LEFT JOIN syn_words s ON s.ord = c.ord GROUP BY c.ord",
-            "syn_words",
-        ),
+        "expand_synonyms": with_ctes(_joined("syn_words", "documents", "doc_id"), "syn_words"),
+        "expand_phrase_synonyms": with_ctes(
+            _joined("phrase_tokens", "documents", "doc_id"), "doc_words", "bench_words", "phrase_tokens", **_PHRASE_FRAGMENTS
+        ).replace("WITH ", "WITH RECURSIVE ", 1),
+        "read_quirky_questions": questions_sql(f"({_QUIRK_LINES})"),
+        "rejected_lines": f"SELECT value FROM ({_QUIRK_LINES}) WHERE length(value) > 2 AND strpos(value, '[') > 0 AND strpos(value, ']') > 0 "
+        "AND strpos(value, ']') < strpos(value, '[')",
         "synonym_chain": with_ctes(_joined("syn_tokens", "documents", "doc_id"), "syn_tokens"),
         "query_terms": with_ctes("SELECT * FROM query_tokens", "query_tokens", queries="SELECT * FROM batch"),
         "query_terms_with_synonyms": with_ctes("SELECT * FROM syn_query_tokens", "syn_query_tokens", queries="SELECT * FROM batch"),
@@ -377,7 +430,7 @@ def oracle_sql() -> dict[str, str]:
         "index_count": "SELECT count(*) AS documents FROM documents",
         "write_index_overwrite": _field_stats("coll", "max_doc, sum_ttf, round(avgdl, 9) AS avgdl"),
         "write_index_append": f"SELECT * FROM ({_union_field('question', 'body')}) UNION ALL SELECT * FROM ({_union_field('topic', 'topic')})",
-        "append_corpora": with_ctes("SELECT id, topic, ord FROM both_corpora", "both_corpora", **_BOTH),
+        "append_corpora": with_ctes("SELECT id, topic, body, ord FROM both_corpora", "both_corpora", **_BOTH),
         "read_index": with_ctes(
             "SELECT term, ord, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM tokens GROUP BY term, ord", "tokens"
         ),
@@ -427,7 +480,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "search_with_operators": _search(0, operators=True, queries=f"SELECT * FROM ({_TWO_SIDED}) WHERE {_VALID}"),
         "sample_queries": with_ctes(
-            "SELECT id, topic, draw AS ord FROM drawn JOIN (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS position FROM turns) "
+            "SELECT id, topic, body, draw AS ord FROM drawn JOIN (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS position FROM turns) "
             "ON position = h % (SELECT count(*) FROM turns)",
             "drawn",
             "turns",
