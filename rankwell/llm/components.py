@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rankwell.sources.scratch import materialize
 
+ROWS_PER_TASK = 200_000
+
 
 def _jump(pointers: DataFrame) -> DataFrame:
     """Every node to where the node it points to points."""
@@ -14,6 +16,11 @@ def _jump(pointers: DataFrame) -> DataFrame:
     return pointers.join(onward, "root").select("node", F.col("next").alias("root"))
 
 
+def _written(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """``df`` written by as many tasks as its rows, of which a bound is known, are worth."""
+    return materialize(df.coalesce(max(1, -(-rows // ROWS_PER_TASK))), name)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b), both whole numbers; component is the smallest node in it.
 
@@ -21,30 +28,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ranks are short whatever the order of the numbers. Each round points every node to its best-ranked neighbour,
     follows the pointers to their ends, and contracts the edges to those ends; edges left run into the next round.
     Hubs cost no more than their edges: neighbours are only ever reduced to a minimum. Every round is a written table,
-    so no lineage builds up. Self-loops, repeated edges and null ends are harmless; nodes without edges are not listed.
+    so no lineage builds up; at the end nodes follow the pointers of all rounds. Self-loops, repeated edges and null
+    ends are harmless; nodes without edges are not listed.
     """
-    ranked = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
-    names = ranked.select(F.explode(F.array("a", "b")).alias("number")).distinct()
-    ranked = ranked.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna().distinct()
+    pairs = materialize(pairs, "component-pairs")
+    rows = 2 * pairs.count()
+    ranked = pairs.filter("a <> b").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    left = materialize(ranked.select(both.alias("e")).select("e.*").distinct(), "component-edges")
-    names = materialize(names.select("number", F.xxhash64("number").alias("node")), "component-names")
-    labels = names
+    left, rounds = ranked.select(both.alias("e")).select("e.*"), []
     while not left.isEmpty():
         pointers = left.groupBy("a").agg(F.min("b").alias("b"))
-        pointers = materialize(pointers.select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "pointers")
+        pointers = _written(pointers.select(F.col("a").alias("node"), F.least("a", "b").alias("root")), rows, "pointers")
         while True:
-            further = materialize(_jump(_jump(pointers)), "pointers")
-            ends = further.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            ended = further.join(ends, "root").filter("next <> root").isEmpty()
-            pointers = further
-            if ended:
+            pointers = _written(_jump(_jump(pointers)), rows, "pointers")
+            ends = pointers.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            if pointers.join(ends, "root").filter("next <> root").isEmpty():
                 break
+        rounds.append(pointers)
         a = pointers.select(F.col("node").alias("a"), F.col("root").alias("x"))
         b = pointers.select(F.col("node").alias("b"), F.col("root").alias("y"))
         left = left.join(a, "a").join(b, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        left = materialize(left.distinct(), "component-edges")
-        moved = labels.join(pointers, "node", "left")
-        labels = materialize(moved.select("number", F.coalesce("root", "node").alias("node")), "component-labels")
+        left = _written(left.distinct(), rows, "component-edges")
+        rows = left.count()
+    labels = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct().withColumn("node", F.xxhash64("number"))
+    for pointers in rounds:
+        labels = labels.join(pointers, "node", "left").select("number", F.coalesce("root", "node").alias("node"))
     smallest = labels.groupBy("node").agg(F.min("number").alias("component"))
     return labels.join(smallest, "node").select(F.col("number").alias("node"), "component")
