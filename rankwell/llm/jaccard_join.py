@@ -18,7 +18,7 @@ from rankwell.sources.scratch import materialize
 CELL_BITS = 22  # 2**22 counters of shingle frequency, whatever the corpus; results never depend on them
 _CHUNK = 1 << 16
 HOT = 200_000  # rows of one shingle, above which it is dealt over several keys
-BLOCK_ROWS = 4_000  # documents that one task compares with each other, or with as many others
+BLOCK_ROWS = 1_000  # documents that one task compares with each other, or with as many others
 _CLASSES = 16  # of shingles, for the suffix filter
 _MANY = 16  # sets left to verify for one, from which their overlaps are counted together
 _PART = 200  # documents whose sets are worked out at a time
@@ -320,18 +320,18 @@ def near_duplicates(
     blocks = F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")
     members = members.join(members.groupBy("cluster").agg(blocks), "cluster")
     members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    texts = rows.withColumnRenamed("doc_id", "first_id").join(members, "first_id")
+    # the clusters grow with the corpus, so they are never broadcast, small as they may be here
+    texts = rows.withColumnRenamed("doc_id", "first_id").join(members.hint("merge"), "first_id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = texts.select("cluster", "key", "text", "block", other)
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(F.col("block") < F.col("other"), 1).when(F.col("block") > F.col("other"), 2).otherwise(0)
     paired = paired.select("cluster", F.concat_ws("-", low, high).alias("pair"), side.alias("side"), "key", "text")
-    links = connected_components(materialize(_verified(paired, words, percent), "jaccard-links"))
+    links = connected_components(_verified(paired, words, percent))
     joined = smallest.join(links.select(F.col("node").alias("key"), "component"), "key", "left")
     joined = joined.withColumn("component", F.coalesce("component", "key"))
     named = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = materialize(joined.join(named, "component").select("key", "component_id"), "jaccard-components")
-    own = known.join(named, "key", "left")
+    own = known.join(joined.join(named, "component").select("key", "component_id"), "key", "left")
     component = F.coalesce("component_id", "doc_id").alias("component_id")
     return own.select("doc_id", F.col("n").alias("n_shingles"), component, F.col("key").alias("set_key"))
 
