@@ -175,3 +175,38 @@ def query(docs: DataFrame) -> DataFrame:
         joined(F.col("spans")).alias("labels"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)).alias("score"),
     )
+
+
+def _sql(base=BASE, notices=NOTICES, slack: int = 3, least: float = 0.8) -> str:
+    templates = [*base, *notices]
+    pairs = ", ".join(
+        f"({number}, {place}, '{a} {b}')"
+        for number, (text, _) in enumerate(templates)
+        for place, (a, b) in enumerate(zip(text.split(), text.split()[1:], strict=False))
+    )
+    labels = ", ".join(f"({i}, '{label}', {len(text.split()) - 1}, {str(i < len(base)).lower()})" for i, (text, label) in enumerate(templates))
+    return f"""
+WITH pairs(template, tpos, pair) AS (VALUES {pairs}),
+templates(template, label, grams, base) AS (VALUES {labels}),
+words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '{WORD}') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(len(w) - 1)) AS pos FROM words),
+hits AS (SELECT doc_id, template, pos - tpos AS diagonal, tpos, pos FROM
+           (SELECT doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] AS pair FROM places) JOIN pairs USING (pair)),
+diagonals AS (SELECT doc_id, template, diagonal, CASE WHEN diagonal - lag(diagonal) OVER d > CASE WHEN base THEN 0 ELSE {slack} END
+                OR lag(diagonal) OVER d IS NULL THEN 1 ELSE 0 END AS opens
+              FROM (SELECT DISTINCT doc_id, template, diagonal FROM hits) JOIN templates USING (template)
+              WINDOW d AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+islands AS (SELECT doc_id, template, diagonal, sum(opens) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM diagonals),
+spans AS (SELECT doc_id, template, min(pos) AS start, count(DISTINCT tpos) / any_value(grams) AS coverage, any_value(base) AS base,
+            any_value(label) AS label
+          FROM hits JOIN islands USING (doc_id, template, diagonal) JOIN templates USING (template) GROUP BY doc_id, template, island
+          HAVING count(DISTINCT tpos) / any_value(grams) >= CASE WHEN any_value(base) THEN 1.0 ELSE {least} END)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, count(s.start) FILTER (s.base) AS n_base, min(s.start) FILTER (s.base) AS first_word,
+  max(s.start) FILTER (s.base) AS last_word, coalesce(string_agg(DISTINCT s.label, ',' ORDER BY s.label) FILTER (s.base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT s.label, ',' ORDER BY s.label), '') AS labels, coalesce(max(s.coverage), 0.0) AS score
+FROM words d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id, d.w
+"""
+
+
+SQL = _sql()

@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": license_scan.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_url_filter": url_filters.SQL,
 }
