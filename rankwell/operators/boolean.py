@@ -48,19 +48,23 @@ def valid_queries(
     """Queries that get a result line.
 
     Bodies that analyse to nothing stay (they find nothing); malformed ones and those with more than 1,024 clauses, or
-    as many words in one clause, go. ``longest``: the longest body, if known.
+    as many words in one clause or alternatives at one of its places, go. ``longest``: the longest body, if known.
     """
     well_formed = queries.filter(valid_query("body"))
-    # A clause takes at least a character and a separator, so short bodies need no count.
-    if longest is not None and longest <= 2 * MAX_CLAUSES:
-        return well_formed
-    long_bodies = well_formed.filter(F.length("body") > 2 * MAX_CLAUSES)
+    long_bodies = well_formed
+    if synonyms is None:  # a clause takes at least a character and a separator, so short bodies need no count
+        if longest is not None and longest <= 2 * MAX_CLAUSES:
+            return well_formed
+        long_bodies = well_formed.filter(F.length("body") > 2 * MAX_CLAUSES)
+    places = F.col("tokens")["pos"]
+    sharing = F.transform(F.array_distinct(places), lambda p: F.size(F.filter(places, lambda q: q == p)))
     sizes = (
         analyzed_chunks(long_bodies, chain, synonyms)
         .filter((F.size("tokens") > 0) & ~F.col("text").isin(*OPERATORS))
         .groupBy("query_ord")
         .agg(
-            F.count(F.lit(1)).alias("clauses"), F.max(F.size(F.array_distinct(F.col("tokens")["pos"]))).alias("words")
+            F.count(F.lit(1)).alias("clauses"),
+            F.max(F.greatest(F.size(F.array_distinct(places)), F.array_max(sharing))).alias("words"),
         )
     )
     too_long = sizes.filter(F.greatest("clauses", "words") > MAX_CLAUSES).select(F.col("query_ord").alias("ord"))

@@ -2,29 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDINALS_PER_BLOCK = 100_000
-
-
-def with_position(df: DataFrame, ord_col: str = "ord") -> DataFrame:
-    """Add ``position``: the dense 0-based rank of a unique ordinal.
-
-    Rows are counted per block of ordinals, the few block totals are summed up in order, and rows are numbered inside
-    their block, so no task sees the whole table.
-    """
-    blocked = df.withColumn("block", F.floor(F.col(ord_col) / ORDINALS_PER_BLOCK))
-    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocked.groupBy("block").count().select("block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("block").orderBy(ord_col)
-    return (
-        blocked.withColumn("inside", F.row_number().over(inside))
-        .join(starts, "block")
-        .withColumn("position", F.col("start") + F.col("inside") - 1)
-        .drop("block", "inside", "start")
-    )
-
+from rankwell.operators.numbering import dense_positions
+from rankwell.operators.sizing import BROADCAST_ROWS
 
 def draws(queries: DataFrame, n: int, seed: int) -> DataFrame:
     """``(draw, position)``: ``n`` uniform positions, each a hash of seed and draw number, so any engine can redo it."""
@@ -41,9 +23,15 @@ def draws(queries: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def sample_queries(queries: DataFrame, n: int = 100, seed: int = 10) -> DataFrame:
-    """``n`` queries drawn with replacement; ``ord`` becomes the draw number, so repeats stay apart."""
+    """``n`` queries drawn with replacement; ``ord`` becomes the draw number, so repeats stay apart.
+
+    Only the ordinals are numbered and drawn from; the drawn ones then meet the bodies.
+    """
     drawn = draws(queries, n, seed)
-    return with_position(queries).join(drawn, "position").select("id", "topic", "body", F.col("draw").alias("ord"))
+    few = n <= BROADCAST_ROWS
+    picked = dense_positions(queries).join(F.broadcast(drawn) if few else drawn, "position").select("ord", "draw")
+    bodies = queries.join(F.broadcast(picked) if few else picked, "ord")
+    return bodies.select("id", "topic", "body", F.col("draw").alias("ord"))
 
 
 def append_corpora(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -16,10 +16,3 @@ QUESTION = T.StructType(
         T.StructField("ord", T.LongType()),
     ]
 )
-
-SYNONYM = T.StructType(
-    [
-        T.StructField("input", T.ArrayType(T.StringType())),
-        T.StructField("output", T.ArrayType(T.StringType())),
-    ]
-)

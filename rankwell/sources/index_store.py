@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from rankwell.operators.numbering import dense_positions
 from rankwell.operators.postings import term_stats, with_average_length
 from rankwell.operators.ranking import docs_per_block
 from rankwell.plans.build import Index, build_index
@@ -58,24 +59,6 @@ def _table_name(batch: str, field: str) -> str:
     return f"rankwell_{field}_{batch}"
 
 
-def _dense(questions: DataFrame, first_ord: int) -> DataFrame:
-    """``questions`` numbered from ``first_ord`` without gaps, in the order of ``ord``.
-
-    The offsets come from one row per range of ``ord``, found by sorting; no window runs over all rows.
-    """
-    spark = questions.sparkSession
-    ranged = questions.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("part", F.spark_partition_id())
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # one row per task
-    starts, total = {}, first_ord
-    for row in counts:
-        starts[row["part"]], total = total, total + row["n"]
-    offsets = spark.createDataFrame(list(starts.items()) or [(0, first_ord)], "part int, start long")
-    # monotonically_increasing_id counts inside a task; its upper bits are the task
-    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    numbered = ranged.withColumn("within", within).join(F.broadcast(offsets), "part")
-    return numbered.withColumn("ord", F.col("start") + F.col("within")).drop("part", "start", "within")
-
-
 def write_index(
     questions: DataFrame,
     path: str,
@@ -104,14 +87,20 @@ def write_index(
         raise ValueError(f"the index holds the fields {sorted(row['field'] for row in stored[0]['fields'])}")
     first_ord = max((row["next_ord"] for row in stored), default=0)
     size = sum((F.coalesce(F.octet_length(column), F.lit(0)).cast("long") for column in ("topic", "body")), F.lit(0))
-    count, bytes_ = questions.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    facts = F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.min("ord"), F.max("ord")
+    count, bytes_, lowest, highest = questions.agg(*facts).first()
+    if count and highest - lowest + 1 == count:
+        questions = questions.withColumn("ord", F.col("ord") - lowest + first_ord)
+    else:
+        numbered = dense_positions(questions)
+        questions = questions.join(numbered, "ord").withColumn("ord", F.col("position") + first_ord).drop("position")
     wanted = buckets or max(1, -(-bytes_ // BYTES_PER_BUCKET), min(spark.sparkContext.defaultParallelism, 1 + bytes_ // (1 << 20)))
     if stored and not buckets and wanted <= 4 * stored[0]["buckets"]:
         wanted = stored[0]["buckets"]
 
     batch = uuid.uuid4().hex
     folder = f"{path}/batches/{batch}"
-    index = build_index(_dense(questions, first_ord), synonyms, fields, wanted)
+    index = build_index(questions, synonyms, fields, wanted)
     block = F.floor(F.col("ord") / docs_per_block()).cast("long")
     docs = index.docs.withColumn("ord_block", block)
     docs.repartitionByRange("ord").sortWithinPartitions("ord").write.partitionBy("ord_block").parquet(f"{folder}/docs")

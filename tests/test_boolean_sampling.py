@@ -3,7 +3,6 @@ import hashlib
 import pytest
 
 from rankwell import assign_occur, analyzed_chunks, build_index, sample_queries, search, valid_queries
-from rankwell.operators import sampling
 
 VALID = {
     "sugar cream": ["should", "should"],
@@ -57,10 +56,9 @@ def test_clauses_choose_documents(questions, sim):
         assert all(r["total_hits"] == len(expected) for r in found)
 
 
-def test_sampling(spark, monkeypatch, questions):
-    monkeypatch.setattr(sampling, "ORDINALS_PER_BLOCK", 7)
+def test_sampling(spark, questions):
     rows = questions(*((n * 3, "", f"b{n}") for n in range(40)))
-    rows = rows.withColumn("ord", rows["ord"] * 5 + 2)
+    rows = rows.withColumn("ord", rows["ord"] * 1_000_003_000_007 + 2)  # as sparse as hashes
     drawn = {r["ord"]: r["id"] for r in sample_queries(rows, 100, 10).collect()}
     expected = {d: str(int(hashlib.md5(f"10:{d}".encode()).hexdigest()[:8], 16) % 40 * 3) for d in range(100)}
     assert drawn == expected

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 import rankwell as rw
 from rankwell.functions.scoring import SIMILARITIES, clause_score
 from rankwell.functions.text import lower, long_enough, trim_control
-from rankwell.plans.build import analyze_field
 from rankwell.plans.search import clause_terms
 from rankwell.sources.lines import read_lines
 from verification import inputs
