@@ -12,7 +12,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from rankwell import build_index, read_index, search, write_index
+from rankwell import build_index, read_index, read_questions, search, write_index
 from verification import inputs
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -54,6 +54,8 @@ def main() -> None:
     lazy = build_index(questions, fields=("question",))
     times["search_unstored"] = timed(lambda: search(queries, lazy, sim=4).collect())
     times["append_index"] = timed(lambda: write_index(inputs.turns(spark, SF_DIR), f"{folder}/index", "append"))
+    times["read_questions"] = timed(lambda: read_questions(spark, inputs.bracket_file(spark, SF_DIR)).count())
+    times["search_clauses"] = timed(lambda: search(inputs.two_sided_batch(spark, SF_DIR), index, sim=0).collect())
     spark.stop()
     print(
         json.dumps(

@@ -26,7 +26,7 @@ from rankwell.operators.ranking import docs_per_block
 from rankwell.plans.build import Index, build_index
 from rankwell.schema import FIELDS
 
-SLOTS = 64  # directories of postings
+SLOTS = 16  # directories of postings; each holds a file for every bucket
 BYTES_PER_BUCKET = 256 << 20  # of text
 
 _PUBLISHED = (
