@@ -15,7 +15,7 @@ from rankwell.llm.common import held_out
 
 TRAINING_ROWS = 2_000  # labelled documents of each class at most
 LONGEST_TRAINING_TEXT = 50_000  # bytes; longer ones are scored whole, but not learnt from
-_BATCH_BYTES = 4 << 20
+_BATCH_BYTES = 2 << 20
 
 # byte classes, in order: letters, capitals, digits, space, full stop and comma, exclamation and question mark, bar,
 # other ASCII punctuation, bytes beyond ASCII, control characters
@@ -111,18 +111,23 @@ class QualityModel:
         return marginals(scores, first, self.chain), lengths, lines_of
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        out, part, held = [], [], 0
-        for text in texts:
-            part.append(text)
-            held += len(text or "")
-            if held > _BATCH_BYTES:
-                out.append(logistic(_summaries(*self.line_marginals(part)), self.document))
-                part, held = [], 0
-        if part:
-            out.append(logistic(_summaries(*self.line_marginals(part)), self.document))
+        out = [logistic(_summaries(*self.line_marginals(part)), self.document) for part in _portions(texts)]
         return np.concatenate(out) if out else np.zeros(0)
 
 
+def _portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Whole texts, about as many at a time as memory likes."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text or "")
+        if held > _BATCH_BYTES:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def _summaries(good: np.ndarray, lengths: np.ndarray, lines_of: np.ndarray) -> np.ndarray:
     """Per document: the length-weighted mean of its lines' marginals, that as log-odds, the worst line, its length."""
     weight = lengths + 1.0
@@ -146,7 +151,8 @@ def fit_quality(
     texts, good = training_rows(docs, labels, "quality", rows, LONGEST_TRAINING_TEXT, id_col=id_col, text_col=text_col)
     if not 0 < good.sum() < len(good):
         return QualityModel()
-    features, lengths, lines_of = line_features(texts)
+    described = [line_features(part) for part in _portions(texts)]
+    features, lengths, lines_of = (np.concatenate(x) for x in zip(*described, strict=True))
     first = np.zeros(len(lengths), bool)
     first[np.cumsum(lines_of) - lines_of] = True
     tags = np.repeat(good, lines_of)
