@@ -19,7 +19,7 @@ from rankwell.sources.scratch import materialize
 SEQUENCE_TOKENS = 1024
 DIMENSIONS, BITS = 3, 16  # of the curve: a key of 48 bits
 FEATURES = 256  # of the hashed document vectors
-MEMO_WORDS = 1_000_000  # words whose ids a Python worker remembers; only speed depends on it
+MEMO_WORDS = 700_000  # words whose ids a Python worker remembers; only speed depends on it
 _BLOCK = 1 << 20  # ids of one output batch
 
 _WORKER: dict = {}

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from sys import intern
 from zlib import crc32
 
 import numpy as np
@@ -19,13 +20,15 @@ from rankwell.llm.common import held_out
 TRAINING_ROWS = 1_500  # labelled documents of each class at most
 CHAIN_ROWS = 400  # of these, the first so many of each class also train the chain
 LONGEST_TRAINING_TEXT = 20_000  # bytes; longer ones are scored whole, but not learnt from
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 _BATCH_WORDS = 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = range(3, 9)
 _EDGES = np.array([-1.0, 0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5])
 _NO_EVIDENCE = len(_EDGES) + 1
+_SEEN = 20  # words of the training rows from which a step of evidence has a weight of its own
+_LONGER_SHARE = 0.4
 _SEED = 2.0  # evidence from which a word of a toxic document is labelled toxic
 
 
@@ -48,7 +51,7 @@ class ToxicityModel:
         return self.__dict__ | {"_steps": {}}
 
     def _step(self, word: str) -> int:
-        known = [self.evidence[f] for f in _forms(word) if f in self.evidence]
+        known = [self.evidence[f] for f in (_forms(word) if word not in self.evidence else [word]) if f in self.evidence]
         return int(np.searchsorted(_EDGES, max(known))) if known else _NO_EVIDENCE
 
     def steps(self, words: list[str]) -> np.ndarray:
@@ -63,6 +66,10 @@ class ToxicityModel:
                     memo[word] = self._step(word)
             return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
+    def forget(self) -> None:
+        """Drops the words met: Python workers live on, and with them the models of earlier jobs."""
+        self._steps.clear()
+
     def word_marginals(self, documents: list[np.ndarray]) -> list[np.ndarray]:
         lengths = np.array([len(d) for d in documents], dtype=np.int64)
         steps = np.concatenate([*documents, np.zeros(0, np.int64)])
@@ -127,6 +134,18 @@ def _copy_groups(documents: list[list[str]]) -> np.ndarray:
     return np.array([root(i) for i in range(len(documents))])
 
 
+def _group_counts(words: list[list[str]], copies: np.ndarray, chosen: np.ndarray, wanted: set[str] | None) -> Counter:
+    """Groups of copies, of the chosen documents, that hold a form; one group's forms are held at a time."""
+    members: dict[int, list[int]] = {}
+    for i in np.flatnonzero(chosen):
+        members.setdefault(int(copies[i]), []).append(i)
+    counts: Counter = Counter()
+    for group in members.values():
+        forms = {f for w in {w for i in group for w in words[i]} for f in _forms(w)}
+        counts.update(forms if wanted is None else forms & wanted)
+    return counts
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> ToxicityModel:
@@ -134,28 +153,33 @@ def fit_toxicity(
 
     Only documents are labelled, so words get labels first: in toxic documents those whose form (the word, or what
     begins with its first three to eight letters) is bound to such documents: log-odds less 1.5 standard errors of two
-    or more, a group of near copies counted once. All other words are clean. A chain over the steps of that evidence is then fitted to the labelled words, and a
+    or more, a group of near copies counted once. A beginning of which one longer form makes two fifths is left to that
+    form, and a word that is known as such goes by itself. All other words are clean. A chain over the steps of that evidence is then fitted to the labelled words, and a
     logistic function of what its marginals come to in a document to the documents' labels. Without labels of both
     classes every document scores a half.
     """
     texts, toxic = training_rows(docs, labels, "toxic", rows, LONGEST_TRAINING_TEXT, id_col=id_col, text_col=text_col)
-    words = [_WORD.findall(text.lower()) for text in texts]
+    words = [list(map(intern, _WORD.findall(text.lower()))) for text in texts]
     if not 0 < toxic.sum() < len(toxic):
         return ToxicityModel({})
     copies = _copy_groups(words)
-    with_form, groups = {0: Counter(), 1: Counter()}, {0: set(copies[toxic == 0]), 1: set(copies[toxic == 1])}
-    forms_of: dict[tuple[int, int], set[str]] = {}
-    for own, label, group in zip(words, toxic, copies, strict=True):
-        forms_of.setdefault((int(label), group), set()).update(f for w in set(own) for f in _forms(w))
-    for (label, _), forms in forms_of.items():
-        with_form[label].update(forms)
-    n1, n0 = len(groups[1]), len(groups[0])
+    with_form = {1: _group_counts(words, copies, toxic == 1, None)}
+    with_form[1] = Counter({form: a for form, a in with_form[1].items() if a >= 3})
+    largest: Counter = Counter()  # of what a beginning of words goes on to, the form that most groups hold
+    for form, a in with_form[1].items():
+        stem = form.rstrip("*")
+        for n in _PREFIXES:
+            if n < len(stem) or (n == len(stem) and form == stem):
+                largest[stem[:n] + "*"] = max(largest[stem[:n] + "*"], a)
+    # a beginning tells something of its own only where no longer form tells most of it
+    with_form[1] = Counter({f: a for f, a in with_form[1].items() if largest[f] <= _LONGER_SHARE * a})
+    with_form[0] = _group_counts(words, copies, toxic == 0, set(with_form[1]))
+    n1, n0 = len(set(copies[toxic == 1])), len(set(copies[toxic == 0]))
     evidence = {}
     for form, a in with_form[1].items():
         c = with_form[0][form]
-        if a >= 3:
-            odds = np.log((a + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1))
-            evidence[form] = float(odds - 1.5 * np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5)))
+        odds = np.log((a + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1))
+        evidence[form] = float(odds - 1.5 * np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5)))
     model = ToxicityModel({f: e for f, e in evidence.items() if e > _EDGES[0]})
     steps = [model.steps(own) for own in words]
     seed_step = int(np.searchsorted(_EDGES, _SEED, side="right"))
@@ -168,6 +192,10 @@ def fit_toxicity(
         first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
         dense = np.eye(_NO_EVIDENCE + 1, dtype=np.float32)[flat]
         model.emission, model.chain = fit(dense, np.concatenate([tags[i] for i in learnt]).astype(float), first)
+        seen = np.bincount(flat, minlength=_NO_EVIDENCE + 1) >= _SEEN
+        for step in range(_NO_EVIDENCE):  # a step hardly met weighs what the one below does
+            if not seen[step]:
+                model.emission[step] = model.emission[step - 1 if step else _NO_EVIDENCE]
     model.document = fit_logistic(_summaries(model.word_marginals(steps)), toxic, decay=1e-3)
     return model
 
@@ -180,6 +208,7 @@ def toxicity_score(model: ToxicityModel) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(shared.value.scores(texts.tolist()))
+        shared.value.forget()
 
     return score
 
@@ -208,6 +237,7 @@ def tag_toxic_spans(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc
             scores = shared.value.scores(texts.tolist())
             spans = [[dict(zip(("start", "end", "probability"), s, strict=True)) for s in shared.value.spans(t)] for t in texts]
             yield pd.DataFrame({"score": scores, "spans": spans})
+        shared.value.forget()
 
     tagged = docs.select(docs[id_col].alias("doc_id"), tag(docs[text_col].cast("string")).alias("found"))
     return tagged.select("doc_id", "found.score", "found.spans")
