@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from rankwell.llm.common import documents_of
 
 MARK = "▁"  # stands for a space
-MEMO_WORDS = 600_000  # encoded words a Python worker remembers; only speed depends on it
+MEMO_WORDS = 700_000  # encoded words a Python worker remembers; only speed depends on it
 _PLAIN, _BYTE, _BPE = 1, 6, 2  # kinds of piece and of model in the model's file
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-BATCH_ROWS = 10_000  # documents whose new words are encoded together
+BATCH_ROWS = 3_000  # documents whose new words are encoded together
 
 _WORKER: dict = {}
 
@@ -48,7 +48,9 @@ class PieceModel:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(described.pieces) if p.type == _BYTE}
         if len(self.bytes) != 256:
             raise ValueError("a model with byte fallback is needed")
-        self._byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
+        self._bytes_of = [piece.encode() for piece in self.pieces]
+        for b, i in self.bytes.items():
+            self._bytes_of[i] = bytes([b])
         self._known: dict[str, bytes] = {}
         self._admitted: dict[tuple[str, str], bool] = {}
         self.usable = {piece for piece in self.scores if self._merged(list(piece)) == [piece]}  # others no merging gives
@@ -72,7 +74,7 @@ class PieceModel:
         key = (before, piece)
         known = self._admitted.get(key)
         if known is None:
-            if len(self._admitted) > 2_000_000:
+            if len(self._admitted) > 400_000:
                 self._admitted.clear()
             known = self._admitted[key] = self._merged(list(before + piece)) == [before, piece]
         return known
@@ -127,10 +129,7 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are put together, marks become spaces, the mark put in front goes."""
-        out = bytearray()
-        for i in ids:
-            out += self._byte_of.get(i) or self.pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self._bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefixed and text.startswith(" ") else text
 
     def encode_documents(self, texts: list[str]) -> list[bytes]:
