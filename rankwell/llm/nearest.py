@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankwell.sources.scratch import materialize
+from rankwell.sources.scratch import materialize, shuffle_clean_up
 
 SAMPLE_ROWS = 20_000  # vectors that the trees' planes are fitted on; every vector is indexed
 SAMPLE_LEAF = 16  # sampled vectors in a leaf at least, which bounds the number of leaves
 SHARD_ROWS = 16_384  # vectors, and queries, that one task compares at a time
+_PORTION = 1 << 22  # components multiplied at a time
 
 
 @dataclass
@@ -102,19 +103,47 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
-def _scores(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the k largest inner products, ties to smaller ids; equal vectors have equal scores to the bit."""
+def _first_hits(ids: np.ndarray, scores: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Places by query and score, ties to smaller ids; of those with one query, id and score only the first."""
+    order = np.lexsort((ids, -scores, query))
+    new = np.diff(ids[order]) != 0
+    for column in (scores, query):
+        new |= np.diff(column[order]) != 0
+    return order[np.r_[True, new][: len(order)]]
+
+
+def _scores(
+    queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ``k`` largest inner products, ties to smaller ids; equal vectors have equal scores to the bit.
+
+    Rows with the query's ``own`` id take no place, and neither do those that repeat an id and a score.
+    """
     rough = queries @ vectors.T
-    best = []
-    for query, row in zip(queries, rough, strict=True):
-        if len(row) > k:
-            least = np.partition(row, len(row) - k)[len(row) - k]
-            near = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
-        else:
-            near = np.arange(len(row))
-        exact = (vectors[near] * query).sum(axis=1)
-        order = np.lexsort((ids[near], -exact))[:k]
-        best.append((ids[near][order], exact[order]))
+    rough[own[:, None] == ids] = -np.inf
+    others = (rough > -np.inf).sum(axis=1)
+    best: list[tuple[np.ndarray, np.ndarray]] = [(ids[:0], np.zeros(0))] * len(queries)
+    still, taken = np.arange(len(queries)), k
+    while len(still):
+        row, least = rough[still], np.full(len(still), -np.inf)
+        if len(ids) > taken:
+            least = np.partition(row, len(ids) - taken, axis=1)[:, len(ids) - taken]
+        slack = 1e-9 * np.maximum(1.0, np.abs(least))
+        near = (row >= (least - slack)[:, None]) & (row > -np.inf)
+        counts, again = near.sum(axis=1), []
+        portion = np.cumsum(counts * vectors.shape[1]) // _PORTION
+        for part in np.split(np.arange(len(still)), np.flatnonzero(np.diff(portion)) + 1):
+            q, v = np.nonzero(near[part])
+            exact, hit = (vectors[v] * queries[still[part]][q]).sum(axis=1), ids[v]
+            order = _first_hits(hit, exact, q)
+            q, hit, exact = q[order], hit[order], exact[order]
+            starts = np.searchsorted(q, np.arange(len(part) + 1))
+            for i, a, b in zip(part, starts, np.minimum(starts[1:], starts[:-1] + k), strict=False):
+                if counts[i] == others[still[i]] or (b - a == k and exact[b - 1] >= least[i] - slack[i] / 2):
+                    best[still[i]] = hit[a:b], exact[a:b]
+                else:  # repetitions of an id and a score have filled the list
+                    again.append(still[i])
+        still, taken = np.array(again, dtype=int), taken * 4
     return best
 
 
@@ -143,15 +172,17 @@ def nearest_neighbours(
     Leaves are grouped into shards of ``SHARD_ROWS`` vectors. A leaf that is larger, because many vectors are equal or
     the sample bounds the number of leaves, is spread over several shards, each of which the query visits; so no task
     holds more, and nothing is capped. Rows without an id and vectors that are null, zero, or hold null or non-finite components take no part,
-    nor do those of another width than most. Repeated ids count once per different score. Empty tables give no rows.
+    nor do those of another width than most. Rows that repeat an id and a vector are indexed once, and repeated ids
+    count once per different score, before any list is cut to ``k``. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     wide = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
-    wide = wide.filter(usable(F.col("v")) & F.col("id").isNotNull())
+    wide = wide.filter(usable(F.col("v")) & F.col("id").isNotNull()).distinct()
     shape = wide.groupBy(F.size("v").alias("width")).agg(
         F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("longest")
     )
-    largest = shape.orderBy(F.desc("n"), "width").first()  # one row
+    with shuffle_clean_up(spark):
+        largest = shape.orderBy(F.desc("n"), "width").first()  # one row
     if largest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, total, longest = largest.width, largest.n, largest.longest
@@ -161,7 +192,8 @@ def nearest_neighbours(
         rest = np.sqrt(np.maximum(0.0, longest - (rows * rows).sum(axis=1)))
         return np.hstack([rows, rest[:, None]])
 
-    sampled = wide.orderBy(F.xxhash64("id"), "id").select("v").limit(sample_rows).toPandas()
+    with shuffle_clean_up(spark):
+        sampled = wide.orderBy(F.xxhash64("id"), "id").select("v").limit(sample_rows).toPandas()
     sample, rng = levelled(_matrix(sampled["v"])), np.random.default_rng(seed)
     in_sample = max(SAMPLE_LEAF, int(leaf_rows * len(sample) / max(total, 1)))
     forest = [grow_tree(sample, in_sample, rng) for _ in range(trees)]
@@ -239,13 +271,11 @@ def nearest_neighbours(
                 a, b = span[x]
                 for start in range(0, len(who), 512):
                     part = who[start : start + 512]
-                    for i, hit in zip(part, _scores(asking[part], vectors_[a:b], ids[a:b], k + 1), strict=True):
+                    for i, hit in zip(part, _scores(asking[part], asking_ids[part], vectors_[a:b], ids[a:b], k), strict=True):
                         found.setdefault(i, []).append(hit)
             for i, hits in found.items():
                 ids_, scores = (np.concatenate(x) for x in zip(*hits, strict=True))
-                other = ids_ != asking_ids[i]
-                ids_, scores = ids_[other], scores[other]
-                order = np.lexsort((ids_, -scores))[:k]
+                order = _first_hits(ids_, scores, np.zeros(len(ids_)))[:k]
                 out.append((asking_ids[i], ids_[order], scores[order]))
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 

@@ -49,6 +49,26 @@ def test_large_leaves_are_spread_and_searched_whole(spark, monkeypatch):
     assert {q: [i for i, _ in h] for q, h in got.items()} == {q: [i for i, _ in h] for q, h in want.items()}
 
 
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=6))]) for i in range(120)]
+    near = [float(x) for x in np.float32(np.array(rows[10][1]) * 1.5)]
+    rows += [rows[3]] * 50 + [(300, near)] * 50
+    queries = [3, 10, 300]
+    got, want = run(spark, rows, queries, k=20, share=1.1, leaf_rows=8), brute(rows, queries, 20)
+    assert {q: [i for i, _ in h] for q, h in got.items()} == {q: [i for i, _ in h] for q, h in want.items()}
+    assert all(len(got[q]) == 20 for q in queries)
+
+
+def test_repeated_ids_count_once_per_score(spark):
+    rows = [(1, [1.0, 0.0, 0.0])] + [(1, [1.0, float(i), 1.0]) for i in range(30)]
+    rows += [(2, [5.0, float(i), -1.0]) for i in range(90)] + [(3 + i, [4.0 - i / 8, 0.0, 0.0]) for i in range(8)]
+    vectors = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], TYPE)
+    asked = spark.createDataFrame([(1, rows[0][1], 0, "x")] * 2, TYPE)
+    found = nearest_neighbours(vectors, asked, k=6, share=1.1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(2, 5.0)] + [(3 + i, 4.0 - i / 8) for i in range(5)]
+
+
 def test_recall(spark):
     rng = np.random.default_rng(1)
     points = rng.normal(size=(1500, 32))
