@@ -13,7 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below a half, by a model learnt from the labelled documents of ``sf_dir``."""
+    """Documents with a toxicity score below a half, by a model learnt from the labelled documents of ``sf_dir``.
+
+    Where the labels that can be learnt from are all of one class, or there are none, every document stays.
+    """
     model = toxicity.fit_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 

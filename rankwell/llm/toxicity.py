@@ -45,6 +45,7 @@ class ToxicityModel:
     emission: np.ndarray = field(default_factory=lambda: np.zeros(_NO_EVIDENCE + 1))
     chain: Chain = field(default_factory=Chain)
     document: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    learnt: bool = True  # false where the labels had one class only, or none: all scores are a half and tell nothing
     _steps: dict[str, int] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -161,7 +162,7 @@ def fit_toxicity(
     texts, toxic = training_rows(docs, labels, "toxic", rows, LONGEST_TRAINING_TEXT, id_col=id_col, text_col=text_col)
     words = [list(map(intern, _WORD.findall(text.lower()))) for text in texts]
     if not 0 < toxic.sum() < len(toxic):
-        return ToxicityModel({})
+        return ToxicityModel({}, learnt=False)
     copies = _copy_groups(words)
     with_form = {1: _group_counts(words, copies, toxic == 1, None)}
     with_form[1] = Counter({form: a for form, a in with_form[1].items() if a >= 3})
@@ -220,7 +221,12 @@ def _share(model):
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score is ``threshold`` or more; all columns as they were."""
+    """``docs`` without the rows whose score is ``threshold`` or more; all columns as they were.
+
+    A model that learnt from labels of one class only, or from none, knows no toxic document: every row stays.
+    """
+    if not model.learnt:
+        return docs
     return docs.filter(toxicity_score(model)(docs[text_col].cast("string")) < threshold)
 
 

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from rankwell.llm import quality, toxicity
@@ -44,3 +45,13 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF_DIR).count() == 0, name
+
+
+@pytest.mark.parametrize("toxic", [None, 0, 1])
+def test_toxicity_stage_keeps_all_without_both_classes(spark, tmp_path, toxic):
+    docs = spark.createDataFrame([(i, f"a calm text of number {i}") for i in range(30)] + [(30, None)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(toxic).cast("int").alias("toxic"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    (labels if toxic is not None else labels.limit(0)).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(31))
