@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from pathlib import Path
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from verification import catalog, oracle
 
@@ -36,10 +37,16 @@ def _rows(columns: list[str], rows) -> Counter:
 
 
 def difference(spark: SparkSession, connection: duckdb.DuckDBPyConnection, sf_dir: str, name: str) -> str | None:
-    """What differs between the two sides of a query, or None; a query without SQL must give rows."""
-    result = catalog.REGISTRY[name](spark, sf_dir)
+    """What differs between the two sides of a query of the catalog, or None."""
+    return difference_of(spark, connection, sf_dir, catalog.REGISTRY[name], oracle.oracle_sql().get(name))
+
+
+def difference_of(
+    spark: SparkSession, connection: duckdb.DuckDBPyConnection, sf_dir: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None
+) -> str | None:
+    """What differs between a query and its SQL, or None; a query without SQL must give rows."""
+    result = query(spark, sf_dir)
     got = result.collect()
-    sql = oracle.oracle_sql().get(name)
     if sql is None:
         return None if got else "no rows"
     cursor = connection.execute(sql)
