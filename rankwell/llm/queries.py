@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwell.llm import exact_dedup, jaccard_join, license_scan, nearest, packing, quality, sentencepiece_viterbi, token_counts, toxicity, url_filters
+from rankwell.llm import (
+    exact_dedup,
+    jaccard_join,
+    license_scan,
+    nearest,
+    packing,
+    quality,
+    sentencepiece_viterbi,
+    sharding,
+    spelling_variants,
+    token_counts,
+    toxicity,
+    url_filters,
+    whitening,
+)
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,10 +44,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": _over("documents", packing.query),
     "op9_exact_dedup": _over("documents", exact_dedup.query),
     "op10_url_filter": _over("pages", url_filters.query),
+    "op11_whitening": _over("embeddings", whitening.query),
+    "op12_sharding": _over("documents", sharding.query),
+    "op13_spelling_variants": _over("documents", spelling_variants.query),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": license_scan.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_url_filter": url_filters.SQL,
+    "op12_sharding": sharding.SQL,
+    "op13_spelling_variants": spelling_variants.SQL,
 }
