@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankwell.sources.scratch import materialize
+
 COMPONENTS = 8
 SCALE, OFFSET = 1024, 100_000  # of the whole numbers that stand for an entry
 PASSES = 10  # Gram passes at most; three are the rule
@@ -264,6 +266,7 @@ def whitened_components(vectors: DataFrame, *, id_col: str = "vec_id", vector_co
     ``identity_error`` covers the others (null if there are none).
     """
     rows = whole_numbers(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector")), "vector").select("vec_id", "x")
+    rows = materialize(rows, "whole-numbers")  # every pass reads them
     model = fit_whitening(rows)
     if model is None:
         kind = vectors.schema[id_col].dataType.simpleString()
