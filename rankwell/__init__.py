@@ -20,7 +20,7 @@ from rankwell.operators.sampling import append_corpora, sample_queries
 from rankwell.operators.synonyms import SynonymRules, expand_synonyms
 from rankwell.plans.build import Index, build_index, index_count, to_documents
 from rankwell.plans.search import adhoc_query, score, search, search_text
-from rankwell.sources.index_store import read_index, write_index
+from rankwell.sources.index_store import drop_retired, merge_index, read_index, write_index
 from rankwell.sources.questions import (
     drop_short_lines,
     parse_questions,

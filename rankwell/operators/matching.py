@@ -12,18 +12,14 @@ HOT_SHARE = 1000
 SALTS = 64
 
 
-def with_stats(
-    terms: DataFrame, term_stats: DataFrame, collection_stats: DataFrame, small: bool, pruned: bool = False
-) -> DataFrame:
+def with_stats(terms: DataFrame, term_stats: DataFrame, collection_stats: DataFrame, small: bool) -> DataFrame:
     """Attach collection and term statistics to query terms; a term that no document holds gets df = ttf = 0.
 
     The statistics meet the short query side, before the match: matched postings then need no further lookup. The
-    collection has one row per field. ``small``: the query terms have a checked size; ``pruned``: ``term_stats`` holds
-    none but their words already.
+    collection has one row per field. ``small``: the query terms have a checked size.
     """
-    if not pruned:
-        words = terms.select("field", "term").distinct()
-        term_stats = term_stats.join(F.broadcast(words) if small else words, ["field", "term"], "left_semi")
+    words = terms.select("field", "term").distinct()
+    term_stats = term_stats.join(F.broadcast(words) if small else words, ["field", "term"], "left_semi")
     # No more rows than there are query terms.
     known = F.broadcast(term_stats) if small else term_stats
     return (

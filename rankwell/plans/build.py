@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,8 +19,8 @@ class Index:
     """Index tables, lazy or read from storage; ``postings`` and ``doc_stats`` are kept per field.
 
     docs: ord, doc_id, topic, question. postings: field, term, ord, tf, positions, dl. doc_stats: field, ord,
-    num_tokens, dl. term_stats: field, term, df, ttf. collection_stats: field, max_doc, sum_ttf, avgdl. Stored postings also
-    have term_slot, one of ``slots`` hashes of the term.
+    num_tokens, dl. term_stats: field, term, df, ttf. collection_stats: field, max_doc, sum_ttf, avgdl. A stored index has
+    a ``lookup``: of a field and a few terms, the postings and term statistics that can matter to them.
     """
 
     docs: DataFrame
@@ -27,8 +28,11 @@ class Index:
     doc_stats: dict[str, DataFrame]
     term_stats: dict[str, DataFrame]
     collection_stats: DataFrame
-    stored: bool = False
-    slots: int = 0
+    lookup: Callable[[str, DataFrame], tuple[DataFrame, DataFrame]] | None = None
+
+    @property
+    def stored(self) -> bool:
+        return self.lookup is not None
 
     def all_postings(self) -> DataFrame:
         return _union(self.postings)

@@ -19,11 +19,6 @@ from rankwell.schema import QUESTION, QUESTION_FIELD
 from rankwell.sources.scratch import materialize
 
 
-# Up to this many distinct query words go into the scans as equalities, which parquet checks per row group (of a longer
-# IN list it only checks the least and the largest word). Beyond that the slots of the words, which are directories, prune
-# the scan; every later planning step walks the equalities, so more of them would cost more than they save.
-PUSHED_TERMS = 256
-
 # Punctuation between two word characters of one chunk: only there can a chunk fall into several terms.
 _INNER_BREAK = r"[\p{L}\p{M}\p{Nd}_][^\p{L}\p{M}\p{Nd}_ \t\r\n\u3000]++[\p{L}\p{M}\p{Nd}_]"
 
@@ -70,24 +65,6 @@ def clause_terms(
     return token_rows(clauses, "query_ord", "chunk", "occur")
 
 
-def _only(table: DataFrame, words: list[str] | None) -> DataFrame:
-    """Rows of the given words; all rows if there is no list."""
-    if words is None:
-        return table
-    tests = [F.col("term") == word for word in words] or [F.lit(False)]
-    while len(tests) > 1:  # a balanced tree stays shallow
-        tests = [a | b for a, b in zip(tests[::2], tests[1::2], strict=False)] + tests[len(tests) & ~1 :]
-    return table.filter(tests[0])
-
-
-def _slots(postings: DataFrame, terms: DataFrame, slots: int) -> DataFrame:
-    """Stored postings cut to the directories that can hold a query word; no more numbers come back than there are slots."""
-    if not slots:
-        return postings
-    wanted = [row[0] for row in terms.select(F.pmod(F.hash("term"), F.lit(slots))).distinct().collect()]
-    return postings.filter(F.col("term_slot").isin(wanted)).drop("term_slot")
-
-
 @dataclass(frozen=True)
 class Scores:
     """``(query_ord, ord, score)`` of every matching document, and a bound on the query terms if they are few."""
@@ -117,21 +94,18 @@ def score(
     else:
         count, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term").cast("long")), F.lit(0))).first()
     small = count <= BROADCAST_ROWS and size <= BROADCAST_BYTES
-    words = None
-    if small:
-        found = terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
-        words = [row["term"] for row in found] if len(found) <= PUSHED_TERMS else None
+    postings, stats = index.postings[field], index.term_stats[field]
+    if small and index.lookup is not None:
+        postings, stats = index.lookup(field, terms)
     plain = not batch.operators and (sim != VSM or (synonyms is None and not batch.compound))
     if plain:
         terms = terms.groupBy("query_ord", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighted = with_stats(
         terms.withColumn("field", F.lit(field)),
-        _only(index.term_stats[field], words),
+        stats,
         index.collection_stats,
         small,
-        pruned=words is not None,
     )
-    postings = _only(_slots(index.postings[field], terms, index.slots), words)
     if plain:
         rows = score_terms(weighted, postings, sim, small, norms, **params)
     else:
