@@ -15,7 +15,7 @@ from rankwell.operators.analysis import analyze, query_terms
 from rankwell.operators.boolean import analyzed_chunks, assign_occur, boolean_match, valid_queries, valid_query
 from rankwell.operators.matching import match, score_clauses, score_terms, with_stats
 from rankwell.operators.postings import build_postings, collection_stats, doc_lengths, term_stats, term_vectors, token_rows
-from rankwell.operators.ranking import fetch_fields, report, top_k, total_hits
+from rankwell.operators.ranking import fetch_fields, report, top_hits, top_k, total_hits
 from rankwell.operators.sampling import append_corpora, sample_queries
 from rankwell.operators.synonyms import SynonymRules, expand_synonyms
 from rankwell.plans.build import Index, build_index, index_count, to_documents

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from rankwell.functions.scoring import VSM, clause_score, length_norm, resolve_similarity, vsm_idf
 from rankwell.operators.boolean import MUST, MUST_NOT, SHOULD, keep_by_occur
+from rankwell.operators.skew import every_sub_key, sub_key
 
-HOT_SHARE = 1000
-SALTS = 64
+ROWS_PER_KEY = 1_000_000  # postings of a term that one task takes, in the plan for large batches
+QUERIES_PER_KEY = 100_000  # query rows that ask for a term, likewise
+MOST_HOT = 1_000_000  # terms that are split at most: beyond that tasks take more rows each
 
 
 def with_stats(terms: DataFrame, term_stats: DataFrame, collection_stats: DataFrame, small: bool) -> DataFrame:
@@ -34,19 +36,26 @@ def match(terms: DataFrame, postings: DataFrame, small: bool) -> DataFrame:
     """Equi-join of weighted query terms and postings on the term; any shared term is a match.
 
     ``small`` (a checked size): the terms are broadcast, the postings stay where they are. Otherwise both sides are
-    shuffled on the term, and a term with more than 1/1000 of all tokens (there are fewer than 1000 of them) is
-    spread over 64 sub-keys by document, with its query rows copied to each.
+    shuffled on the term. A term that is in many documents is cut into sub-keys of ``ROWS_PER_KEY`` by document, with its
+    query rows copied to each; a term that many queries ask for is cut likewise by query, with its postings copied.
     """
     postings = postings.select("term", "ord", "tf", "dl")
     if small:
         return postings.join(F.broadcast(terms), "term")
-    terms = terms.withColumn("hot", F.col("ttf") * HOT_SHARE > F.col("sum_ttf"))
-    hot = terms.filter("hot").select("term").distinct().withColumn("spread", F.lit(SALTS))
-    salted = postings.join(F.broadcast(hot), "term", "left").withColumn(
-        "salt", F.when(F.col("spread").isNotNull(), F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int")).otherwise(0)
+    asked = terms.groupBy("term").agg(F.count(F.lit(1)).alias("asked"), F.first("df").alias("held"), F.first("sum_ttf").alias("all"))
+    per_key = F.greatest(F.lit(ROWS_PER_KEY), F.ceil(F.col("all") / MOST_HOT))
+    per_query = F.greatest(F.lit(QUERIES_PER_KEY), F.ceil(F.col("all") / MOST_HOT))
+    hot = asked.filter((F.col("held") > per_key) | (F.col("asked") > per_query)).select(
+        "term",
+        F.greatest(F.ceil(F.col("held") / per_key), F.lit(1)).cast("int").alias("doc_parts"),
+        F.ceil(F.col("asked") / per_query).cast("int").alias("query_parts"),
     )
-    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.drop("spread").join(terms.withColumn("salt", F.explode(copies)).drop("hot"), ["term", "salt"]).drop("salt")
+    hot = F.broadcast(hot)
+    of_docs, of_queries = F.coalesce("doc_parts", F.lit(1)), F.coalesce("query_parts", F.lit(1))
+    held = postings.join(hot, "term", "left").select("term", "ord", "tf", "dl", sub_key(F.col("ord"), of_docs).alias("doc_part"), every_sub_key(of_queries).alias("query_part"))
+    wanted = terms.join(hot, "term", "left").withColumn("query_part", sub_key(F.col("query_ord"), of_queries))
+    wanted = wanted.withColumn("doc_part", every_sub_key(of_docs)).drop("doc_parts", "query_parts")
+    return held.join(wanted, ["term", "doc_part", "query_part"]).drop("doc_part", "query_part")
 
 
 def _scored(matches: DataFrame, sim: int, norms: str, params: dict[str, float]) -> DataFrame:

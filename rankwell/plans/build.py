@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.operators.analysis import analyze
-from rankwell.operators.postings import build_postings, collection_stats, doc_lengths, term_stats
+from rankwell.operators.postings import build_postings, collection_stats, doc_lengths, term_stats, with_average_length
 from rankwell.operators.synonyms import SynonymRules
 from rankwell.schema import FIELDS
+from rankwell.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -29,11 +30,25 @@ class Index:
     term_stats: dict[str, DataFrame]
     collection_stats: DataFrame
     lookup: Callable[[str, DataFrame], tuple[DataFrame, DataFrame]] | None = None
+    once: dict[str, Index] = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def stored(self) -> bool:
         return self.lookup is not None
 
+    def analyzed_once(self, field: str) -> Index:
+        """This index with the postings of one field written, and its statistics taken from them: a search reads them
+        several times, and the text is analysed once. Kept for the searches that follow."""
+        if field not in self.once:
+            columns = "field", "term", "ord", "tf", "dl"
+            written = materialize(self.postings[field].select(*columns), "postings")
+            stats = materialize(term_stats(written), "term-stats")
+            count = self.docs.agg(F.lit(field).alias("field"), F.count(F.lit(1)).alias("max_doc"))
+            tokens = stats.agg(F.coalesce(F.sum("ttf"), F.lit(0)).alias("sum_ttf"))
+            totals = materialize(with_average_length(count.crossJoin(F.broadcast(tokens))), "collection-stats")
+            self.once[field] = replace(self, postings={field: written}, term_stats={field: stats}, collection_stats=totals)
+        return self.once[field]
+
     def all_postings(self) -> DataFrame:
         return _union(self.postings)
 

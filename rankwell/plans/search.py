@@ -11,7 +11,7 @@ from rankwell.functions.scoring import VSM, resolve_similarity
 from rankwell.operators.boolean import OPERATORS, SHOULD, analyzed_chunks, assign_occur, valid_queries
 from rankwell.operators.matching import score_clauses, score_terms, with_stats
 from rankwell.operators.postings import token_rows
-from rankwell.operators.ranking import fetch_fields, top_k, total_hits
+from rankwell.operators.ranking import fetch_fields, top_hits, top_k
 from rankwell.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS
 from rankwell.operators.synonyms import SynonymRules
 from rankwell.plans.build import Index
@@ -85,6 +85,7 @@ def score(
 ) -> Scores:
     """Score every matching document of queries already known to be valid."""
     sim = resolve_similarity(sim)
+    index = index if index.stored else index.analyzed_once(field)
     batch = batch or inspect(queries)
     terms = clause_terms(queries, "standard" if synonyms is None else "synonym", synonyms, batch.operators)
     if synonyms is not None or index.stored:
@@ -137,10 +138,7 @@ def search(
     accepted = valid_queries(queries, "standard" if rules is None else "synonym", rules, batch.longest)
     scores = score(accepted, index, sim, field, rules, norms, batch, **params)
     few = scores.terms is not None and batch.queries * k <= BROADCAST_ROWS
-    hits = top_k(scores.rows, k)
-    if totals:
-        counted = total_hits(scores.rows)
-        hits = hits.join(F.broadcast(counted) if few else counted, "query_ord")
+    hits = top_hits(scores.rows, k) if totals else top_k(scores.rows, k)
     if index.stored:
         hits = materialize(hits, "hits")
     hits = fetch_fields(hits, index.docs, small=few)

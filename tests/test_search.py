@@ -118,7 +118,9 @@ def test_large_batch_plan_gives_the_same_hits(spark, index, questions, sim, monk
     from rankwell.operators import matching
 
     monkeypatch.setattr(plan, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(matching, "HOT_SHARE", 8)
+    monkeypatch.setattr(matching, "ROWS_PER_KEY", 2)
+    monkeypatch.setattr(matching, "QUERIES_PER_KEY", 1)
+    monkeypatch.setattr(matching, "MOST_HOT", 1000)
     result = search(batch, index, sim=sim, k=4)
     got = result.orderBy("query_ord", "rank").collect()
     assert len(got) == len(expected) > 6
@@ -140,3 +142,60 @@ def test_vsm_is_the_same_with_and_without_chunk_structure(index, questions):
         (r["query_id"], r["ord"], r["total_hits"]) for r in mixed
     ]
     assert [r["score"] for r in alone] == pytest.approx([r["score"] for r in mixed], abs=1e-12)
+
+
+@pytest.mark.parametrize("k", [3, 2000])
+def test_hits_and_totals_in_one_pass(spark, k, monkeypatch):
+    from rankwell import top_hits, top_k, total_hits
+    from rankwell.operators import ranking
+
+    monkeypatch.setattr(ranking, "_HELD", 50)
+    rows = spark.range(6000).select((F.col("id") % 3).alias("query_ord"), F.expr("(id * 7919) % 100003").alias("ord"), (F.col("id") % 50 + 1.0).alias("score"))
+    got = sorted(tuple(r) for r in top_hits(rows, k).select("query_ord", "rank", "ord", "score", "total_hits").collect())
+    expected = top_k(rows, k).join(total_hits(rows), "query_ord").select("query_ord", "rank", "ord", "score", "total_hits")
+    ordered = rows.toPandas().sort_values(["query_ord", "score", "ord"], ascending=[True, False, True])
+    best = [(q, i + 1, o, s, 2000) for q, part in ordered.groupby("query_ord") for i, (o, s) in enumerate(zip(part["ord"][:k], part["score"][:k]))]
+    assert got == sorted(tuple(r) for r in expected.collect()) == best
+    assert top_hits(rows.limit(0), k).count() == 0
+
+
+def test_a_large_k_is_cut_in_parts_first(spark, capsys):
+    from rankwell import top_k
+
+    rows = spark.range(10).select((F.col("id") % 2).alias("query_ord"), F.col("id").alias("ord"), F.col("id").cast("double").alias("score"))
+    top_k(rows, 2000).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Window [") == 2 and "hashpartitioning(query_ord" in plan and "part" in plan
+
+
+def test_scores_are_compared_relatively(spark):
+    from rankwell import top_k
+    from rankwell.operators.ranking import score_key
+
+    tiny = [(0, 3e-8), (1, 3.1e-8), (2, 2.9e-8), (3, 3.1e-8 * (1 + 2**-52)), (4, 0.0), (5, 1e-305), (6, 9.99999999999e-9), (7, 1e-8)]
+    rows = spark.createDataFrame([(1, o, s) for o, s in tiny], "query_ord long, ord long, score double")
+    assert [r["ord"] for r in top_k(rows, 8).orderBy("rank").collect()] == [1, 3, 0, 2, 6, 7, 4, 5]
+    keys = [r[0] for r in spark.createDataFrame([(-2.0,), (-1.0,), (0.0,), (1.0,), (9.5,), (10.0,), (1e300,)], "s double").select(score_key("s")).collect()]
+    assert keys == sorted(keys) and len(set(keys)) == 7
+
+
+def test_an_unstored_index_is_analysed_once(spark, index, questions):
+    built = build_index(questions(("a", "", "sugar cream"), ("b", "", "sugar")), fields=("question",))
+    first = built.analyzed_once("question")
+    assert built.analyzed_once("question") is first
+    assert [r["doc_id"] for r in search_text("cream sugar", built, sim=1).orderBy("rank").collect()] == ["a", "b"]
+    stats = first.collection_stats.first()
+    assert (stats["max_doc"], stats["sum_ttf"], stats["avgdl"]) == (2, 3, 1.5)
+
+
+def test_lookups_of_hot_and_null_keys(spark):
+    from rankwell.operators import skew
+
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, 1).when(F.col("id") < 3500, None).otherwise(F.col("id")).alias("key"), F.col("id").alias("row"))
+    table = spark.range(4000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    hot = skew.hot_keys(rows.filter("key IS NOT NULL"), "key")
+    assert [tuple(r) for r in hot.collect()] == [(1, 30)]
+    inner = skew.lookup_join(rows, table, "key", "row")
+    assert inner.count() == 3500 and inner.filter("value <> 2 * key").count() == 0
+    left = skew.lookup_join(rows, table, "key", "row", "left")
+    assert left.count() == 5000 and left.filter("value IS NULL").count() == 1500

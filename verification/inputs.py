@@ -9,6 +9,9 @@ from rankwell import SynonymRules, analyze, read_synonyms, token_rows
 from rankwell.sources.scratch import scratch_path as scratch
 
 
+QUIRKY_DOCS = 50  # documents in a file
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,7 +81,8 @@ def bracket_file(spark: SparkSession, sf_dir: str) -> str:
 
 def quirky_file(spark: SparkSession, sf_dir: str) -> str:
     """``bracket_file`` with leading text, headers without an id, reversed brackets, brackets inside lines, short lines
-    and control characters; one file, because text may belong to the header after it."""
+    and control characters; a file for every ``QUIRKY_DOCS`` documents, because text may belong to the header after it in
+    a file."""
     path = scratch(spark, "quirks")
 
     def every(n: int, rest: int, *parts: Column | str) -> Column:
@@ -94,8 +98,10 @@ def quirky_file(spark: SparkSession, sf_dir: str) -> str:
         "text",
         every(17, 5, "\nab\n[] last ghost\nlost or carried on"),
     )
-    documents = table(spark, sf_dir, "documents").coalesce(1).sortWithinPartitions("doc_id")
-    documents.select(text.alias("value")).write.text(path)
+    documents = table(spark, sf_dir, "documents")
+    part = F.format_string("%012d", F.floor(F.col("doc_id") / QUIRKY_DOCS)).alias("part")
+    rows = documents.select(part, "doc_id", text.alias("value")).repartition("part").sortWithinPartitions("part", "doc_id")
+    rows.select("part", "value").write.partitionBy("part").text(path)
     return path
 
 

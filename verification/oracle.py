@@ -148,6 +148,12 @@ def _index(tokens: str, documents: str = "corpus") -> dict[str, str]:
 
 
 _NORM = "floor(1 / sqrt(dl) / pow(2, floor(log2(1 / sqrt(dl)))) * 4) / 4 * pow(2, floor(log2(1 / sqrt(dl))))"
+# Ten significant digits: power of ten, then the digits as a whole number, rounded up to the next power where they fill.
+_DIGITS = "floor(score / pow(10, floor(log10(score)) - 9) + 0.5)"
+_SCORE_KEY = (
+    f"CASE WHEN score < 1e-300 THEN 0 ELSE (floor(log10(score)) + CASE WHEN {_DIGITS} >= 1e10 THEN 401 ELSE 400 END) * 1e11 "
+    f"+ CASE WHEN {_DIGITS} >= 1e10 THEN 1e9 ELSE {_DIGITS} END END"
+)
 _P = "((ttf + 1.0::DOUBLE) / (sum_ttf + 1.0::DOUBLE))"
 _IDF = "(1 + ln(max_doc / (df + 1.0::DOUBLE)))"
 
@@ -203,7 +209,7 @@ def _search(
         "count(*) FILTER (occur = 'must') AS n_must, count(*) FILTER (occur = 'must_not') AS n_not FROM by_chunk GROUP BY query_ord, ord",
         "scores": f"SELECT query_ord, ord, s * {coord} AS score FROM by_query JOIN shapes USING (query_ord) "
         "WHERE n_not = 0 AND n_must = musts AND matched > 0",
-        "ranked": "SELECT *, row_number() OVER (PARTITION BY query_ord ORDER BY floor(score * 1e9 + 0.5) DESC, ord)::INTEGER AS rank, "
+        "ranked": f"SELECT *, row_number() OVER (PARTITION BY query_ord ORDER BY {_SCORE_KEY} DESC, ord)::INTEGER AS rank, "
         "count(*) OVER (PARTITION BY query_ord) AS total_hits FROM scores",
         "hits": f"SELECT r.*, d.id AS doc_id, d.topic, d.body, q.id AS query_id, round(r.score, 6) AS rounded FROM ranked r "
         f"JOIN {documents} d ON d.ord = r.ord JOIN queries q ON q.ord = r.query_ord WHERE rank <= {k}",
@@ -297,7 +303,7 @@ SELECT id, topic, body, row_number() OVER (ORDER BY file, number) - 1 AS ord FRO
 
 # Documents as bracket text with everything a reader can stumble over, one numbered line a row.
 _QUIRK_LINES = """
-SELECT 'one' AS file, row_number() OVER (ORDER BY doc_id, n) AS line_no, value FROM (
+SELECT doc_id // 50 AS file, row_number() OVER (ORDER BY doc_id, n) AS line_no, value FROM (
   SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS value FROM (SELECT doc_id, string_split_regex(
     CASE WHEN doc_id = 0 THEN 'leading text' || chr(10) ELSE '' END
     || CASE WHEN doc_id % 7 = 1 THEN '[]ghost' || chr(10) || ' ghost body ' || chr(10) ELSE '' END
