@@ -29,6 +29,6 @@ from rankwell.sources.questions import (
     rejected_lines,
 )
 from rankwell.sources.results import result_lines, results_name, write_results, write_xml
-from rankwell.sources.wordnet import read_synonyms
+from rankwell.sources.wordnet import read_synonym_rules, read_synonyms, read_synsets
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -12,43 +12,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.operators.sizing import fits_broadcast
+from rankwell.operators.skew import lookup_join, sub_key
 from rankwell.sources.scratch import materialize
 
 # Joins the words of a rule into one key; no token can hold it.
 _GLUE = "\u0001"
+CHUNK = 1000  # outputs of a group in a row
 
 
 @dataclass(frozen=True)
 class SynonymRules:
-    """Rules grouped for lookup.
+    """Rules for lookup, as a star: an input phrase has groups, a group has outputs. Rows are linear in the words.
 
-    ``heads(term, lengths)``: the lengths of the rules that start with a word. ``rules(phrase, outputs)``: every
-    output of an input phrase. ``longest``: words in the longest input. ``small``: both tables may be broadcast.
+    ``heads(term, lengths)``: the lengths of the rules that start with a word. ``rules(phrase, groups)``: the groups of
+    an input phrase. ``groups(group, outputs)``: the outputs of a group, at most about ``CHUNK`` in a row.
+    ``longest``: words in the longest input. ``small``: the tables may be broadcast.
     """
 
     heads: DataFrame
     rules: DataFrame
+    groups: DataFrame
     longest: int
     small: bool
 
     @classmethod
     def of(cls, synonyms: DataFrame | SynonymRules) -> SynonymRules:
-        """Group ``(input, output)`` rules by input, once, and check their size."""
+        """Rules from ``(input, output)`` rows: the outputs of an input are a group of its own."""
         if isinstance(synonyms, SynonymRules):
             return synonyms
-        synonyms = materialize(synonyms, "synonyms")
-        rules = synonyms.groupBy(F.array_join("input", _GLUE).alias("phrase")).agg(
-            F.sort_array(F.collect_set("output")).alias("outputs")
-        )
-        heads = synonyms.groupBy(F.element_at("input", 1).alias("term")).agg(
-            F.sort_array(F.collect_set(F.size("input"))).alias("lengths")
-        )
-        longest = synonyms.agg(F.coalesce(F.max(F.size("input")), F.lit(1))).first()[0]
-        small = fits_broadcast(synonyms, "input", "output")
-        return cls(materialize(heads, "heads"), materialize(rules, "rules"), longest, small)
+        synonyms = materialize(synonyms.select("input", "output"), "synonyms")
+        group = F.array_join("input", _GLUE)
+        return cls._star(synonyms.select("input", group.alias("group")).distinct(), synonyms.select(group.alias("group"), "output").distinct())
 
-    def lookup(self, table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if self.small else table
+    @classmethod
+    def of_synsets(cls, synsets: DataFrame) -> SynonymRules:
+        """Rules from ``(file, run, words)`` rows: every word of a synset of several gives all of them, itself included."""
+        members = synsets.select(F.concat_ws(_GLUE, "file", F.col("run").cast("string")).alias("group"), "words").distinct()
+        several = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
+        members = materialize(lookup_join(members, several, "group", "words"), "synset-members")
+        return cls._star(members.select(F.col("words").alias("input"), "group"), members.select("group", F.col("words").alias("output")))
+
+    @classmethod
+    def _star(cls, inputs: DataFrame, outputs: DataFrame) -> SynonymRules:
+        rules = inputs.groupBy(F.array_join("input", _GLUE).alias("phrase")).agg(F.sort_array(F.collect_set("group")).alias("groups"))
+        heads = inputs.groupBy(F.element_at("input", 1).alias("term")).agg(F.sort_array(F.collect_set(F.size("input"))).alias("lengths"))
+        sizes = outputs.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+        chunked = lookup_join(outputs, sizes, "group", "output").withColumn("chunk", sub_key(F.col("output"), F.col("chunks")))
+        groups = chunked.groupBy("group", "chunk").agg(F.sort_array(F.collect_set("output")).alias("outputs")).drop("chunk")
+        longest = inputs.agg(F.coalesce(F.max(F.size("input")), F.lit(1))).first()[0]
+        small = fits_broadcast(inputs, "input", "group") and fits_broadcast(outputs, "output", "group")
+        return cls(materialize(heads, "heads"), materialize(rules, "rules"), materialize(groups, "synonym-groups"), longest, small)
+
+    def join(self, rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+        """``rows`` with what ``table`` has of ``key``: the table broadcast, or hot keys split by the rows' ``spread``."""
+        return rows.join(F.broadcast(table), key) if self.small else lookup_join(rows, table, key, "spread")
 
 
 def _candidates(rows: DataFrame, words: str, synonyms: SynonymRules, key: list[str]) -> DataFrame:
@@ -65,19 +82,20 @@ def _candidates(rows: DataFrame, words: str, synonyms: SynonymRules, key: list[s
         window = F.transform(
             F.col(words), lambda term, pos: F.struct(pos.cast("int").alias("start"), term.alias("term"), F.array(term).alias("next"))
         )
-    spans = (
-        rows.select(*key, F.inline_outer(window))
-        .join(synonyms.lookup(synonyms.heads), "term")
-        .select(*key, "start", "next", F.explode("lengths").alias("len"))
-        .filter(F.col("len") <= F.size("next"))
-        .select(*key, "start", "len", F.array_join(F.expr("slice(next, 1, len)"), _GLUE).alias("phrase"))
-    )
-    matched = spans.join(synonyms.lookup(synonyms.rules), "phrase").select(*key, "start", "len", "outputs")
-    if synonyms.longest == 1:
-        return matched
-    return matched.groupBy(*key, "start").agg(F.max_by(F.struct("len", "outputs"), "len").alias("best")).select(
-        *key, "start", "best.*"
-    )
+    starts = rows.select(*key, F.inline_outer(window)).filter(F.col("term").isNotNull())
+    spans = synonyms.join(starts.withColumn("spread", F.xxhash64(*key, "start")), synonyms.heads, "term")
+    phrase = F.array_join(F.expr("slice(next, 1, len)"), _GLUE).alias("phrase")
+    spans = spans.select(*key, "start", "spread", "next", F.explode("lengths").alias("len")).filter(F.col("len") <= F.size("next"))
+    spans = spans.select(*key, "start", "spread", "len", phrase)
+    if not synonyms.small:
+        spans = materialize(spans, "phrase-spans")
+    matched = synonyms.join(spans, synonyms.rules, "phrase").select(*key, "start", "spread", "len", "groups")
+    if synonyms.longest > 1:
+        best = F.max_by(F.struct("spread", "len", "groups"), "len").alias("best")
+        matched = matched.groupBy(*key, "start").agg(best).select(*key, "start", "best.*")
+    grouped = synonyms.join(matched.withColumn("group", F.explode("groups")).drop("groups"), synonyms.groups, "group")
+    outputs = F.array_distinct(F.flatten(F.collect_list("outputs")))
+    return grouped.groupBy(*key, "start", "len").agg(outputs.alias("outputs"))
 
 
 def _non_overlapping(candidates: DataFrame, key: list[str]) -> DataFrame:

@@ -83,8 +83,50 @@ def test_many_word_rules_against_brute_force(spark, broadcast):
     pairs = [(list(i), list(o)) for i, outputs in rules.items() for o in outputs]
     docs = [(n, [rng.choice("abcde") for _ in range(rng.randint(0, 40))]) for n in range(150)]
     loaded = SynonymRules.of(spark.createDataFrame(pairs, "input array<string>, output array<string>"))
-    loaded = SynonymRules(loaded.heads, loaded.rules, loaded.longest, broadcast)
+    loaded = SynonymRules(loaded.heads, loaded.rules, loaded.groups, loaded.longest, broadcast)
     rows = expand_synonyms(spark.createDataFrame(docs, "ord long, words array<string>"), "words", loaded, ["ord"]).collect()
     assert len(rows) == len(docs)
     for row in rows:
         assert [tuple(t) for t in row["tokens"]] == _greedy(row["words"], rules)
+
+
+def test_a_star_expands_like_pairs_and_never_squares(spark, monkeypatch):
+    from rankwell.operators import synonyms as module
+
+    monkeypatch.setattr(module, "CHUNK", 7)
+    members = [("f", 1, [f"word{i}"]) for i in range(60)] + [("f", 2, ["word3"]), ("f", 2, ["other", "words"]), ("f", 3, ["alone"])]
+    synsets = spark.createDataFrame(members, "file string, run long, words array<string>")
+    star = SynonymRules.of_synsets(synsets)
+    assert star.rules.count() == 61 and star.groups.count() <= 2 + 60
+    assert star.groups.select(F.sum(F.size("outputs"))).first()[0] == 62
+    texts = spark.createDataFrame([(0, ["word3", "alone", "other", "words"]), (1, [])], "ord long, words array<string>")
+    found = {r["ord"]: {tuple(t) for t in r["tokens"]} for r in expand_synonyms(texts, "words", star, ["ord"]).collect()}
+    assert found[0] == {(0, f"word{i}") for i in range(60)} | {(0, "other"), (1, "words"), (1, "alone"), (2, "other"), (3, "words"), (2, "word3")}
+    assert found[1] == set()
+
+
+def test_a_hot_first_word_without_broadcasts(spark, monkeypatch):
+    """One word heads half of the rules and stands in every text."""
+    from dataclasses import replace
+
+    from rankwell.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 5)
+    dice = random.Random(9)
+    rules = [("hot", f"w{i}") for i in range(40)] + [(f"w{i}", f"w{i + 1}", "hot") for i in range(40)] + [("hot",), ("hot", "w1", "w2")]
+    rows = [(list(rule), list(out)) for rule in rules for out in (rule, ("out", rule[-1]))]
+    small = SynonymRules.of(spark.createDataFrame(rows, "input array<string>, output array<string>"))
+    texts = [(n, [dice.choice(["hot", "hot", f"w{dice.randrange(41)}", "cold"]) for _ in range(dice.randrange(30))]) for n in range(60)]
+    texts = spark.createDataFrame(texts, "ord long, words array<string>")
+    assert small.small
+    plain, spread = (
+        sorted((r["ord"], sorted(tuple(t) for t in r["tokens"])) for r in expand_synonyms(texts, "words", of, ["ord"]).collect())
+        for of in (small, replace(small, small=False))
+    )
+    assert plain == spread and any(tokens for _, tokens in plain)
+
+
+def test_the_file_is_read_once(spark, tmp_path, capsys):
+    (tmp_path / "wn.pl").write_text(WORDNET)
+    read_synonyms(spark, str(tmp_path)).explain()
+    assert "FileScan text" not in capsys.readouterr().out

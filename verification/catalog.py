@@ -399,6 +399,13 @@ def search_vsm_with_synonyms(spark, sf_dir):
     return shown(rw.search(batch(spark, sf_dir), built, sim=0, synonyms=rules))
 
 
+@query
+def search_with_phrase_synonyms(spark, sf_dir):
+    rules = inputs.phrases(spark, sf_dir)
+    built = rw.build_index(corpus(spark, sf_dir), rules, ("question",))
+    return shown(rw.search(batch(spark, sf_dir), built, sim=1, synonyms=rules))
+
+
 @query
 def search_stored_index(spark, sf_dir):
     path = inputs.scratch(spark, "index")
@@ -411,6 +418,24 @@ def search_appended_index(spark, sf_dir):
     return shown(rw.search(batch(spark, sf_dir), _appended(spark, sf_dir), sim=1))
 
 
+@query
+def search_merged_index(spark, sf_dir):
+    """Two appended batches, merged, with postings in ranges of terms."""
+    path = inputs.scratch(spark, "index")
+    rw.write_index(corpus(spark, sf_dir), path, "append", fields=("question",), ranges=8)
+    rw.write_index(inputs.turns(spark, sf_dir), path, "append", fields=("question",))
+    rw.merge_index(spark, path)
+    return shown(rw.search(batch(spark, sf_dir), rw.read_index(spark, path), sim=1))
+
+
+@query
+def top_k_beyond_a_thousand(spark, sf_dir):
+    """The longest documents, as many as there are in half of the tables at hand."""
+    lengths = index(spark, sf_dir).doc_stats["question"]
+    scores = lengths.select(F.lit(0).alias("query_ord"), "ord", F.col("dl").cast("double").alias("score"))
+    return rw.top_k(scores, 1500).select("ord", "rank")
+
+
 @query
 def search_text(spark, sf_dir):
     """The longest benchmark text as an ad-hoc query."""

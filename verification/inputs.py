@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankwell import SynonymRules, analyze, read_synonyms, token_rows
+from rankwell import SynonymRules, analyze, read_synonym_rules, token_rows
 from rankwell.sources.scratch import scratch_path as scratch
 
 
@@ -129,21 +131,24 @@ def synonym_file(spark: SparkSession, sf_dir: str) -> str:
 
 
 def phrase_file(spark: SparkSession, sf_dir: str) -> str:
-    """Two-word synsets: each even-numbered benchmark word with the next one, written apart and as one word."""
+    """Synsets of benchmark words that follow one another, written apart and as one word: two from every second word on,
+    three from every fifth, four from every seventh."""
     path = scratch(spark, "phrases")
-    words = benchmark_words(spark, sf_dir)
-    following = words.select("item_id", (F.col("pos") - 1).alias("pos"), F.col("term").alias("next"))
-    pairs = words.filter(F.col("pos") % 2 == 0).join(following, ["item_id", "pos"])
-    synset = (100_000_000 + F.col("item_id") * 1000 + F.col("pos")).alias("synset")
-    apart = pairs.select(synset, F.concat_ws(" ", "term", "next").alias("word"))
-    joined = pairs.select(synset, F.concat("term", "next").alias("word"))
-    _prolog(apart.unionByName(joined)).write.text(path)
+    following = Window.partitionBy("item_id").orderBy("pos")
+    words = benchmark_words(spark, sf_dir).select("item_id", "pos", *(F.lead("term", i).over(following).alias(f"w{i}") for i in range(4)))
+    synsets = []
+    for count, every in ((2, 2), (3, 5), (4, 7)):
+        found = words.filter((F.col("pos") % every == 0) & F.col(f"w{count - 1}").isNotNull())
+        synset = (100_000_000 * count + F.col("item_id") * 1000 + F.col("pos")).alias("synset")
+        of = [f"w{i}" for i in range(count)]
+        synsets += [found.select(synset, F.concat_ws(" ", *of).alias("word")), found.select(synset, F.concat(*of).alias("word"))]
+    _prolog(reduce(DataFrame.unionByName, synsets)).write.text(path)
     return path
 
 
 def synonyms(spark: SparkSession, sf_dir: str) -> SynonymRules:
-    return SynonymRules.of(read_synonyms(spark, synonym_file(spark, sf_dir)))
+    return read_synonym_rules(spark, synonym_file(spark, sf_dir))
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> SynonymRules:
-    return SynonymRules.of(read_synonyms(spark, phrase_file(spark, sf_dir)))
+    return read_synonym_rules(spark, phrase_file(spark, sf_dir))

@@ -258,14 +258,7 @@ _CLAUSE_QUERY = {"queries": f"SELECT * FROM ({_OPERATOR_BATCH}) WHERE {_VALID}"}
 
 
 def _phrase_rules() -> str:
-    pairs = (
-        "SELECT DISTINCT a.term || ' ' || b.term AS apart, a.term || b.term AS whole FROM bench_words a JOIN bench_words b "
-        "ON a.item_id = b.item_id AND b.pos = a.pos + 1 WHERE a.pos % 2 = 0"
-    )
-    rows = " UNION ".join(
-        f"SELECT {i} AS input, {o} AS output FROM pairs" for i in ("apart", "whole") for o in ("apart", "whole")
-    )
-    return with_ctes(rows, "pairs", pairs=pairs)
+    return with_ctes("SELECT DISTINCT input, output FROM phrase_rules", "bench_words", "phrase_rules", **_PHRASE_RULES)
 
 
 def _union_field(field: str, column: str) -> str:
@@ -313,25 +306,55 @@ SELECT doc_id // 50 AS file, row_number() OVER (ORDER BY doc_id, n) AS line_no,
     || text || CASE WHEN doc_id % 17 = 5 THEN chr(10) || 'ab' || chr(10) || '[] last ghost' || chr(10) || 'lost or carried on' ELSE '' END,
     '\r\n|\r|\n') AS l FROM documents))"""
 
-# Two-word synonym rules, the greedy choice from the left as a walk from each chosen match to the next, and what it gives.
-_PHRASE_FRAGMENTS = {
-    "pairs": "SELECT a.term AS a, b.term AS b FROM bench_words a JOIN bench_words b ON a.item_id = b.item_id AND b.pos = a.pos + 1 "
-    "WHERE a.pos % 2 = 0",
-    "phrase_rules": "SELECT a || ' ' || b AS input, 2 AS len, a || ' ' || b AS output FROM pairs UNION SELECT a || ' ' || b, 2, a || b FROM pairs "
-    "UNION SELECT a || b, 1, a || ' ' || b FROM pairs UNION SELECT a || b, 1, a || b FROM pairs",
-    "word_pairs": "SELECT ord, pos, term, term || ' ' || lead(term) OVER (PARTITION BY ord ORDER BY pos) AS two FROM doc_words",
-    "phrase_candidates": "SELECT ord, pos AS start, CASE WHEN t.input IS NOT NULL THEN 2 ELSE 1 END AS len, coalesce(t.input, o.input) AS input "
-    "FROM word_pairs LEFT JOIN (SELECT DISTINCT input FROM phrase_rules WHERE len = 2) t ON t.input = two "
-    "LEFT JOIN (SELECT DISTINCT input FROM phrase_rules WHERE len = 1) o ON o.input = term WHERE coalesce(t.input, o.input) IS NOT NULL",
-    "phrase_steps": "SELECT *, CASE WHEN lead(start) OVER w >= start + len THEN lead(start) OVER w ELSE lead(start, 2) OVER w END AS following, "
-    "row_number() OVER w AS nth FROM phrase_candidates WINDOW w AS (PARTITION BY ord ORDER BY start)",
-    "phrase_chosen": "SELECT ord, start, len, input, following FROM phrase_steps WHERE nth = 1 UNION ALL SELECT s.ord, s.start, s.len, s.input, s.following "
-    "FROM phrase_chosen c JOIN phrase_steps s ON s.ord = c.ord AND s.start = c.following",
-    "phrase_outputs": "SELECT ord, start, string_split(output, ' ') AS w FROM phrase_chosen c JOIN phrase_rules r ON r.input = c.input AND r.len = c.len",
-    "phrase_words": "SELECT ord, start + generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS term FROM phrase_outputs UNION ALL "
-    "SELECT d.ord, d.pos, d.term FROM doc_words d WHERE NOT EXISTS (SELECT 1 FROM phrase_chosen c WHERE c.ord = d.ord AND "
-    "(c.start = d.pos OR (c.len = 2 AND c.start + 1 = d.pos)))",
-    "phrase_tokens": f"SELECT ord, pos, term FROM phrase_words WHERE term NOT IN ({_STOP})",
+# Synonym rules of two to four words that follow one another, each written apart and as one word.
+_FOLLOWING = ", ".join(f"lead(term, {i}) OVER w AS w{i}" for i in range(4))
+_PHRASE_RULES = {
+    "phrase_words": f"SELECT item_id, pos, {_FOLLOWING} FROM bench_words WINDOW w AS (PARTITION BY item_id ORDER BY pos)",
+    "phrase_pairs": " UNION ".join(
+        f"SELECT {n} AS n, concat_ws(' ', {of}) AS apart, concat({of}) AS whole FROM phrase_words WHERE pos % {every} = 0 AND w{n - 1} IS NOT NULL"
+        for n, every in ((2, 2), (3, 5), (4, 7))
+        for of in [", ".join(f"w{i}" for i in range(n))]
+    ),
+    "phrase_rules": " UNION ".join(
+        f"SELECT {i} AS input, {'n' if i == 'apart' else 1} AS len, {o} AS output FROM phrase_pairs"
+        for i in ("apart", "whole")
+        for o in ("apart", "whole")
+    ),
+}
+
+
+def _phrases(prefix: str, words_table: str) -> dict[str, str]:
+    """Fragments that expand a table (ord, pos, term): the longest rule at each place, the greedy choice from the left as
+    a walk from each chosen match to the next, and what it gives."""
+    spans = " UNION ALL ".join(
+        f"SELECT ord, pos AS start, {n} AS len, concat_ws(' ', {', '.join(f'w{i}' for i in range(n))}) AS input FROM {prefix}_windows "
+        f"WHERE w{n - 1} IS NOT NULL"
+        for n in range(1, 5)
+    )
+    following = " ".join(f"WHEN lead(start, {i}) OVER w >= start + len THEN lead(start, {i}) OVER w" for i in range(1, 5))
+    return {
+        f"{prefix}_windows": f"SELECT ord, pos, {_FOLLOWING} FROM {words_table} WINDOW w AS (PARTITION BY ord ORDER BY pos)",
+        f"{prefix}_spans": spans,
+        f"{prefix}_candidates": f"SELECT ord, start, max(len) AS len, arg_max(input, len) AS input FROM {prefix}_spans "
+        "JOIN (SELECT DISTINCT input, len FROM phrase_rules) USING (input, len) GROUP BY ord, start",
+        f"{prefix}_steps": f"SELECT *, CASE {following} END AS following, row_number() OVER w AS nth FROM {prefix}_candidates "
+        "WINDOW w AS (PARTITION BY ord ORDER BY start)",
+        f"{prefix}_chosen": f"SELECT ord, start, len, input, following FROM {prefix}_steps WHERE nth = 1 UNION ALL "
+        f"SELECT s.ord, s.start, s.len, s.input, s.following FROM {prefix}_chosen c JOIN {prefix}_steps s ON s.ord = c.ord AND s.start = c.following",
+        f"{prefix}_outputs": f"SELECT DISTINCT ord, start, string_split(output, ' ') AS w FROM {prefix}_chosen c JOIN phrase_rules r ON r.input = c.input AND r.len = c.len",
+        f"{prefix}_expanded": f"SELECT ord, start + generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS term FROM {prefix}_outputs UNION ALL "
+        f"SELECT d.ord, d.pos, d.term FROM {words_table} d WHERE NOT EXISTS (SELECT 1 FROM {prefix}_chosen c WHERE c.ord = d.ord "
+        "AND d.pos >= c.start AND d.pos < c.start + c.len)",
+    }
+
+
+_PHRASE_FRAGMENTS = _PHRASE_RULES | _phrases("doc", "doc_words") | {
+    "phrase_tokens": f"SELECT ord, pos, term FROM doc_expanded WHERE term NOT IN ({_STOP})",
+}
+_PHRASE_SEARCH = _PHRASE_FRAGMENTS | _phrases("ask", "ask_words") | {
+    "ask_words": "SELECT query_ord * 100000 + chunk AS ord, pos, term FROM chunk_words",
+    "phrase_query_tokens": "SELECT ord // 100000 AS query_ord, (ord % 100000)::INTEGER AS chunk, pos, term FROM ask_expanded "
+    f"WHERE term NOT IN ({_STOP})",
 }
 
 
@@ -477,6 +500,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "search_with_synonyms": _search(4, **synonym_search),
         "search_vsm_with_synonyms": _search(0, **synonym_search),
+        "search_with_phrase_synonyms": _search(
+            1, tokens="phrase_tokens", query_tokens="phrase_query_tokens", more=_PHRASE_SEARCH
+        ).replace("WITH ", "WITH RECURSIVE ", 1),
+        "search_merged_index": _search(1, tokens="both_tokens", documents="both_corpora", more=_BOTH),
+        "top_k_beyond_a_thousand": with_ctes(
+            "SELECT ord, row_number() OVER (ORDER BY dl DESC, ord)::INTEGER AS rank FROM lens QUALIFY rank <= 1500", "lens", **_index("tokens")
+        ),
         "search_stored_index": _search(4),
         "search_appended_index": _search(1, tokens="both_tokens", documents="both_corpora", more=_BOTH),
         "search_text": _search_text(),
