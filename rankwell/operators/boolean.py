@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from rankwell.functions.text import query_chunks
 from rankwell.operators.analysis import analyze, chunk_rows
+from rankwell.operators.skew import lookup_join
 from rankwell.operators.synonyms import SynonymRules
+from rankwell.sources.scratch import materialize
 
 OPERATORS = ("AND", "OR", "NOT")
 MUST, SHOULD, MUST_NOT = "must", "should", "must_not"
@@ -111,13 +113,16 @@ def boolean_match(clauses: DataFrame, matches: DataFrame) -> DataFrame:
     """``(query_ord, ord)`` of the documents that a query's clauses keep.
 
     ``clauses(query_ord, chunk, occur)`` lists every clause, ``matches(query_ord, chunk, ord)`` the documents each
-    one's terms are in (repeats allowed).
+    one's terms are in (repeats allowed). A clause that a large share of all matches belongs to is split by document.
     """
     query = Window.partitionBy("query_ord")
     needed = clauses.select(
         "query_ord", "chunk", "occur", F.sum((F.col("occur") == MUST).cast("int")).over(query).alias("musts")
     )
-    hits = matches.select("query_ord", "chunk", "ord").distinct().join(needed, ["query_ord", "chunk"])
+    clause = F.struct("query_ord", "chunk").alias("clause")
+    hits = materialize(matches.select("query_ord", "chunk", "ord").distinct().select(clause, "ord"), "clause-matches")
+    needed = needed.select(clause, "occur", "musts")
+    hits = lookup_join(hits, needed, "clause", "ord").select("clause.*", "ord", "occur", "musts")
     return keep_by_occur(hits).select("query_ord", "ord")
 
 

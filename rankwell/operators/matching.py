@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rankwell.functions.scoring import VSM, clause_score, length_norm, resolve_similarity, vsm_idf
 from rankwell.operators.boolean import MUST, MUST_NOT, SHOULD, keep_by_occur
-from rankwell.operators.skew import every_sub_key, sub_key
+from rankwell.operators.skew import every_sub_key, lookup_join, sub_key
+from rankwell.sources.scratch import materialize
 
 ROWS_PER_KEY = 1_000_000  # postings of a term that one task takes, in the plan for large batches
 QUERIES_PER_KEY = 100_000  # query rows that ask for a term, likewise
@@ -104,6 +105,28 @@ def with_shapes(terms: DataFrame) -> DataFrame:
     )
 
 
+def match_rarest_first(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """``match`` for ``terms`` with shapes and statistics, but only in documents that hold the rarest must of a query.
+
+    Of a query's must chunks the one whose words are in the fewest documents is matched on its words. The other words of
+    the query are then probed by (word, document) in what was found: rows follow the rarest must, and no two rows of
+    postings share a key. Queries without a must are matched as they are.
+    """
+    terms = materialize(terms, "clause-terms")
+    chunk = Window.partitionBy("query_ord", "chunk")
+    musts = terms.filter(F.col("occur") == MUST).select("query_ord", "chunk", F.sum("df").over(chunk).alias("held"))
+    lead = musts.groupBy("query_ord").agg(F.min(F.struct("held", "chunk"))["chunk"].alias("lead"))
+    led = terms.join(lead, "query_ord")
+    columns = match(terms.limit(0), postings, False).columns
+    first = led.filter(F.col("chunk") == F.col("lead")).drop("lead")
+    found = materialize(match(first, postings, False).select(*columns), "rarest-matches")
+    others = led.filter(F.col("chunk") != F.col("lead")).drop("lead")
+    probes = lookup_join(found.select("query_ord", "ord").distinct(), others, "query_ord", "ord")
+    probed = probes.join(postings.select("term", "ord", "tf", "dl"), ["term", "ord"])
+    free = match(terms.join(lead, "query_ord", "left_anti"), postings, False)
+    return found.unionByName(probed.select(*columns)).unionByName(free.select(*columns))
+
+
 def score_clauses(
     terms: DataFrame,
     postings: DataFrame,
@@ -117,10 +140,13 @@ def score_clauses(
 
     ``terms(query_ord, chunk, occur, pos, term, statistics)``. tf-idf multiplies a chunk's sum by the share of its
     positions that match, and the total by the share of scoring chunks that match. ``alternatives``: whether terms can
-    share a position. All groupings hold ``ord``, so postings spread by it are never shuffled again.
+    share a position. All groupings hold ``ord``, so postings spread by it are never shuffled again. A large batch looks
+    up the rarest must of a query first, and the rest only in the documents that hold it.
     """
     sim = resolve_similarity(sim)
-    rows = _scored(match(with_shapes(terms), postings, small), sim, norms, params)
+    terms = with_shapes(terms)
+    matches = match(terms, postings, small) if small else match_rarest_first(terms, postings)
+    rows = _scored(matches, sim, norms, params)
     chunk = ["query_ord", "chunk", "occur", "ord"]
     query_facts = [F.first(name).alias(name) for name in ("width", "chunks", "musts")]
     if alternatives:

@@ -199,3 +199,18 @@ def test_lookups_of_hot_and_null_keys(spark):
     assert inner.count() == 3500 and inner.filter("value <> 2 * key").count() == 0
     left = skew.lookup_join(rows, table, "key", "row", "left")
     assert left.count() == 5000 and left.filter("value IS NULL").count() == 1500
+
+
+def test_conjunctions_follow_the_rarest_must(spark, questions):
+    from rankwell import with_stats
+    from rankwell.operators import matching
+    from rankwell.plans.search import clause_terms
+
+    built = build_index(questions(*((str(i), "", f"common w{i % 5} own{i} {'odd' if i % 2 else 'even'}") for i in range(200))))
+    asked = questions(("a", "", "common AND own7 odd NOT even"), ("b", "", "w3 AND common AND odd"), ("c", "", "own5 w4"))
+    terms = clause_terms(asked).withColumn("field", F.lit("question"))
+    terms = matching.with_shapes(with_stats(terms, built.term_stats["question"], built.collection_stats, False))
+    rows = matching.match_rarest_first(terms, built.postings["question"])
+    counts = {r["query_ord"]: r["count"] for r in rows.groupBy("query_ord").count().collect()}
+    every = {r["query_ord"]: r["count"] for r in matching.match(terms, built.postings["question"], False).groupBy("query_ord").count().collect()}
+    assert counts == {0: 3, 1: 40 + 40 + 20, 2: 41} and every == {0: 401, 1: 340, 2: 41}
