@@ -79,6 +79,50 @@ def test_recall(spark):
     assert recall >= 0.9
 
 
+def compared(spark, rows, queries, **options):
+    """(recall, vectors compared per query): a table in one shard, so that the forest alone decides."""
+    from rankwell.llm import nearest
+
+    seen, plain = spark.sparkContext.accumulator(0), nearest._scores
+
+    def counting(asking, own, vectors, ids, k, candidate=None):
+        if candidate is not None:
+            seen.add(int(candidate.sum()))
+        return plain(asking, own, vectors, ids, k, candidate)
+
+    nearest._scores = counting
+    try:
+        got = run(spark, rows, queries, **options)
+    finally:
+        nearest._scores = plain
+    want = brute(rows, queries, 20)
+    recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in queries])
+    return recall, seen.value / len(queries)
+
+
+def test_no_more_is_compared_than_there_is_and_less_where_vectors_are_clustered(spark):
+    rng = np.random.default_rng(4)
+    loose = [(i, [float(x) for x in p]) for i, p in enumerate(rng.normal(size=(1200, 24)))]
+    centres = rng.normal(size=(30, 24)) * 5
+    tight = [(i, [float(x) for x in centres[i % 30] + rng.normal(size=24) * 0.2]) for i in range(1200)]
+    queries = list(range(0, 1200, 20))
+    recall, each = compared(spark, loose, queries, leaf_rows=32)
+    assert recall >= 0.9 and 100 < each <= 1200
+    recall, each = compared(spark, tight, queries, leaf_rows=32)
+    assert recall >= 0.9 and 20 <= each <= 600
+
+
+def test_shards_that_many_visit_are_split(spark, monkeypatch):
+    from rankwell.llm import nearest
+
+    monkeypatch.setattr(nearest, "SHARD_ROWS", 8)
+    monkeypatch.setattr(nearest, "REGIONS", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=5))]) for i in range(100)]
+    got, want = run(spark, rows, list(range(60)), k=5, share=1.1, leaf_rows=8), brute(rows, list(range(60)), 5)
+    assert {q: [i for i, _ in h] for q, h in got.items()} == {q: [i for i, _ in h] for q, h in want.items()}
+
+
 def test_few_and_no_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (None, [1.0, 1.0])]
     assert run(spark, rows, [1]) == {1: [(2, 1.0)]}
