@@ -22,23 +22,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.3 or more, by a model learnt from the labelled documents of ``sf_dir``."""
+    """Documents with a quality score of 0.3 or more, by a model learnt from the labelled documents of ``sf_dir``.
+
+    Null texts are scored as empty ones. Where the labels are all of one class, or there are none, every document stays.
+    """
     model = quality.fit_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id."""
+    """Of equal texts the one with the largest id; a null text equals the empty one, rows that repeat an id and a text
+    leave one, and a null id stays only where no equal text has an id."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect the one with the smallest id."""
+    """Of documents that links connect the one with the smallest id; documents without words stay."""
     return jaccard_join.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full sequences, neighbours along the curve together."""
+    """Pieces of full sequences, neighbours along the curve together; null texts count as empty, repeated rows each."""
     return packing.query(docs)
 
 

@@ -76,10 +76,56 @@ def marginals(scores: np.ndarray, first: np.ndarray, chain: Chain) -> np.ndarray
     return odds / (1 + odds)
 
 
+@dataclass
+class OneHot:
+    """Dense features of which each place has one, by its number."""
+
+    codes: np.ndarray
+    width: int
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.codes), self.width
+
+    def __getitem__(self, places: slice) -> OneHot:
+        return OneHot(self.codes[places], self.width)
+
+    def __matmul__(self, weights: np.ndarray) -> np.ndarray:
+        return weights[self.codes]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.codes, values, minlength=self.width)
+
+
+def _expected(features, tags: np.ndarray, first: np.ndarray, weights: np.ndarray, chain: Chain) -> np.ndarray:
+    """Gradient of the features' weights, then expected counts of a first tag 1 and of the other three transitions."""
+    e, forward, backward = _messages(features @ weights, first, chain)
+    odds = forward * (backward / e)
+    probability = odds / (1 + odds)
+    inner = ~first
+    _, t01, t10, t11 = np.exp(chain.vector())
+    came, here = np.r_[1.0, forward[:-1]][inner], backward[inner]
+    pairs = np.stack([t01 * here, t10 * came, t11 * came * here])
+    pairs = (pairs / (1 + pairs.sum(axis=0))).sum(axis=1)
+    missing = tags - probability
+    own = features.sums(missing) if isinstance(features, OneHot) else features.T @ missing
+    return np.r_[own, probability[first].sum(), pairs]
+
+
 def fit(
-    features: np.ndarray, tags: np.ndarray, first: np.ndarray, *, rounds: int = 60, rate: float = 0.3, decay: float = 1e-6
+    features: np.ndarray | OneHot,
+    tags: np.ndarray,
+    first: np.ndarray,
+    *,
+    rounds: int = 60,
+    rate: float = 0.3,
+    decay: float = 1e-6,
+    portion: int = 400_000,
 ) -> tuple[np.ndarray, Chain]:
-    """Weights of dense ``features`` (a row per place) and the chain, by gradient steps (Adam) on the mean likelihood."""
+    """Weights of ``features`` (a row per place) and the chain, by gradient steps (Adam) on the mean likelihood.
+
+    A step adds up the gradients of portions of whole chains, about ``portion`` places each, which bounds its memory.
+    """
     weights = np.zeros(features.shape[1] + 4)
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     inner = ~first
@@ -88,19 +134,14 @@ def fit(
         (tags * first).sum(), ((before == 0) & (tags == 1) & inner).sum(), ((before == 1) & (tags == 0) & inner).sum(),
         ((before == 1) & (tags == 1) & inner).sum(),
     ])
+    begins = np.flatnonzero(first)
+    cuts = sorted({0, len(tags), *(int(begins[np.searchsorted(begins, at)]) for at in range(portion, len(tags), portion) if at <= begins[-1])})
+    parts = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
     for step in range(1, rounds + 1):
         chain = Chain(*weights[-4:])
-        scores = features @ weights[:-4]
-        e, forward, backward = _messages(scores, first, chain)
-        odds = forward * (backward / e)
-        probability = odds / (1 + odds)
-        _, t01, t10, t11 = np.exp(chain.vector())
-        came = np.r_[1.0, forward[:-1]][inner]
-        here = backward[inner]
-        pairs = np.stack([t01 * here, t10 * came, t11 * came * here])
-        pairs = (pairs / (1 + pairs.sum(axis=0))).sum(axis=1)
-        expected = np.r_[probability[first].sum(), pairs]
-        gradient = np.r_[features.T @ (tags - probability), observed - expected] / len(tags) - decay * weights
+        total = sum(_expected(features[part], tags[part], first[part], weights[:-4], chain) for part in parts)
+        total[-4:] = observed - total[-4:]
+        gradient = total / len(tags) - decay * weights
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         weights = weights + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
         weights[-4:] = np.clip(weights[-4:], -12, 12)
@@ -123,19 +164,21 @@ def logistic(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def training_rows(
-    docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int, *, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, label: str, rows: int, longest_text: int, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[list[str], np.ndarray]:
     """Texts and labels to learn from: at most ``rows`` of each class, those with the smallest hash of the id.
 
-    Rows whose crc32 of the id is divisible by five are never among them, nor are texts of over ``longest`` bytes, so
-    what reaches the driver is bounded. A document with several labels is learnt from once for each.
+    Rows whose crc32 of the id is divisible by five are never among them, nor are texts of over ``longest_text`` bytes,
+    so what reaches the driver is bounded: twice ``rows`` times ``longest_text`` bytes. Rows that repeat an id, a text
+    and a label are learnt from once; a document with several labels once for each, an id with several texts likewise.
     """
     known = labels.select(labels["doc_id"].alias("doc_id"), labels[label].cast("int").alias("label"))
-    known = known.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    known = known.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).distinct()
     order = F.xxhash64("doc_id"), F.col("doc_id")
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    texts = texts.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    texts = texts.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest_text)
     picked = [known.filter(F.col("label") == c).orderBy(*order).limit(rows) for c in (0, 1)]
-    found = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").orderBy("doc_id", "label", "text")
-    got = found.limit(4 * rows).select("text", "label").toPandas()  # repeated rows of an id count too
+    found = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").distinct()
+    of_class = [found.filter(F.col("label") == c).orderBy(*order, "text").limit(rows) for c in (0, 1)]
+    got = of_class[0].unionByName(of_class[1]).orderBy("doc_id", "label", "text").select("text", "label").toPandas()
     return [t or "" for t in got["text"]], got["label"].to_numpy(dtype=float)

@@ -140,15 +140,23 @@ def _summaries(good: np.ndarray, lengths: np.ndarray, lines_of: np.ndarray) -> n
 
 
 def fit_quality(
-    docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    rows: int = TRAINING_ROWS,
+    longest_text: int = LONGEST_TRAINING_TEXT,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> QualityModel:
     """Learns from ``labels`` (doc_id, quality): at most ``rows`` documents of each class, never those held out.
 
+    Texts of over ``longest_text`` bytes are not learnt from (all are scored whole), so the training texts are bounded.
+
     Only documents are labelled, so at first every line has its document's label. A second fit gives the lines of bad
     documents that the first holds for good the label good. A logistic function of a document's length-weighted
     marginals is then fitted to the documents' labels. Without labels of both classes every document scores a half.
     """
-    texts, good = training_rows(docs, labels, "quality", rows, LONGEST_TRAINING_TEXT, id_col=id_col, text_col=text_col)
+    texts, good = training_rows(docs, labels, "quality", rows, longest_text, id_col=id_col, text_col=text_col)
     if not 0 < good.sum() < len(good):
         return QualityModel()
     described = [line_features(part) for part in _portions(texts)]
@@ -167,7 +175,10 @@ def fit_quality(
 
 
 def quality_score(model: QualityModel) -> Column:
-    """A function of a text column: the probability that a document with this text is good."""
+    """A function of a text column: the probability that a document with this text is good.
+
+    Null scores like the empty text: as one empty line. Texts are scored whole, repeated ones alike.
+    """
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -178,7 +189,10 @@ def quality_score(model: QualityModel) -> Column:
 
 
 def keep_good(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` with the rows whose score is ``threshold`` or more; all columns as they were."""
+    """``docs`` with the rows whose score is ``threshold`` or more; all columns as they were.
+
+    A model that learnt from labels of one class only, or from none, scores a half: every row stays.
+    """
     return docs.filter(quality_score(model)(docs[text_col].cast("string")) >= threshold)
 
 

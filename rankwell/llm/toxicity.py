@@ -14,11 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.chain import Chain, fit, fit_logistic, logistic, marginals, training_rows
+from rankwell.llm.chain import Chain, OneHot, fit, fit_logistic, logistic, marginals, training_rows
 from rankwell.llm.common import held_out
 
 TRAINING_ROWS = 1_500  # labelled documents of each class at most
-CHAIN_ROWS = 400  # of these, the first so many of each class also train the chain
 LONGEST_TRAINING_TEXT = 20_000  # bytes; longer ones are scored whole, but not learnt from
 MEMO_WORDS = 300_000
 _BATCH_WORDS = 1_000_000
@@ -148,10 +147,18 @@ def _group_counts(words: list[list[str]], copies: np.ndarray, chosen: np.ndarray
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    rows: int = TRAINING_ROWS,
+    longest_text: int = LONGEST_TRAINING_TEXT,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> ToxicityModel:
     """Learns from ``labels`` (doc_id, toxic): at most ``rows`` documents of each class, never those held out.
 
+    Texts of over ``longest_text`` bytes are not learnt from (all are scored whole), so the training texts are bounded.
+
     Only documents are labelled, so words get labels first: in toxic documents those whose form (the word, or what
     begins with its first three to eight letters) is bound to such documents: log-odds less 1.5 standard errors of two
     or more, a group of near copies counted once. A beginning of which one longer form makes two fifths is left to that
@@ -159,7 +166,7 @@ def fit_toxicity(
     logistic function of what its marginals come to in a document to the documents' labels. Without labels of both
     classes every document scores a half.
     """
-    texts, toxic = training_rows(docs, labels, "toxic", rows, LONGEST_TRAINING_TEXT, id_col=id_col, text_col=text_col)
+    texts, toxic = training_rows(docs, labels, "toxic", rows, longest_text, id_col=id_col, text_col=text_col)
     words = [list(map(intern, _WORD.findall(text.lower()))) for text in texts]
     if not 0 < toxic.sum() < len(toxic):
         return ToxicityModel({}, learnt=False)
@@ -185,14 +192,12 @@ def fit_toxicity(
     steps = [model.steps(own) for own in words]
     seed_step = int(np.searchsorted(_EDGES, _SEED, side="right"))
     tags = [((s >= seed_step) & (s < _NO_EVIDENCE)) * label for s, label in zip(steps, toxic, strict=True)]
-    learnt = np.concatenate([np.flatnonzero(toxic == c)[:CHAIN_ROWS] for c in (0, 1)])
-    lengths = np.array([len(steps[i]) for i in learnt])
+    lengths = np.array([len(own) for own in steps])
     if lengths.sum():
-        flat = np.concatenate([steps[i] for i in learnt])
+        flat = np.concatenate(steps)
         first = np.zeros(len(flat), bool)
         first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        dense = np.eye(_NO_EVIDENCE + 1, dtype=np.float32)[flat]
-        model.emission, model.chain = fit(dense, np.concatenate([tags[i] for i in learnt]).astype(float), first)
+        model.emission, model.chain = fit(OneHot(flat, _NO_EVIDENCE + 1), np.concatenate(tags).astype(float), first)
         seen = np.bincount(flat, minlength=_NO_EVIDENCE + 1) >= _SEEN
         for step in range(_NO_EVIDENCE):  # a step hardly met weighs what the one below does
             if not seen[step]:
@@ -202,7 +207,10 @@ def fit_toxicity(
 
 
 def toxicity_score(model: ToxicityModel) -> Column:
-    """A function of a text column: the probability that a document with this text is toxic."""
+    """A function of a text column: the probability that a document with this text is toxic.
+
+    Null scores like the empty text: as a document without words. Texts are scored whole, repeated ones alike.
+    """
     shared = _share(model)
 
     @F.pandas_udf("double")

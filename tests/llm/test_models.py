@@ -111,3 +111,72 @@ def test_held_out_rows(spark):
 
     got = spark.range(200).select("id", held_out(F.col("id")).alias("held")).collect()
     assert all(r.held == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
+
+
+def test_gradients_by_portions_and_by_number_agree():
+    from rankwell.llm.chain import OneHot
+
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 4, 500)
+    tags = (rng.random(500) < 0.2 + 0.2 * codes).astype(float)
+    first = rng.random(500) < 0.1
+    first[0] = True
+    whole, chain = fit(np.eye(4)[codes], tags, first, rounds=20)
+    for portion in (1, 37, 1000):
+        weights, own = fit(OneHot(codes, 4), tags, first, rounds=20, portion=portion)
+        assert np.allclose(weights, whole) and np.allclose(own.vector(), chain.vector())
+
+
+def test_training_rows_are_bounded_distinct_and_not_the_smallest_ids(spark):
+    from rankwell.llm.chain import training_rows
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit(1).alias("label"))
+    docs = docs.unionByName(docs).unionByName(docs.limit(30).withColumn("text", F.lit("another")))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    texts, label = training_rows(docs, labels.unionByName(labels), "toxic", 60, 1000)
+    assert len(texts) == 120 and label.sum() == 60 and len(set(zip(texts, label, strict=True))) > 100
+    ids = [int(t.split()[1]) for t in texts if t != "another"]
+    assert max(ids) > 300 and not any(__import__("zlib").crc32(str(i).encode()) % 5 == 0 for i in ids)
+    short, _ = training_rows(docs, labels, "toxic", 60, 6)
+    assert short and all(len(t) <= 6 for t in short)
+
+
+def test_repeated_ids_and_rows_beyond_the_bound(spark):
+    docs, labels = tables(spark)
+    plain = docs.select("doc_id", "text")
+    twice = plain.unionByName(plain)
+    for module, fitted in ((toxicity, toxicity.fit_toxicity), (quality, quality.fit_quality)):
+        model = fitted(twice, labels, rows=25)
+        assert model.document.any()
+        scored = module.query(twice, labels).collect()
+        assert len(scored) == 2 * plain.count()
+        scores = {}
+        for r in scored:
+            scores.setdefault(r.doc_id, set()).add(round(r.score, 12))
+        assert all(len(s) == 1 for s in scores.values())
+
+
+def brute_document_score(model, text):
+    """Toxicity of a text by its definition: marginals by all taggings, their summary, the logistic function."""
+    words = [w.lower() for w in toxicity._WORD.findall(text)]
+    p = brute_marginals([model.emission[s] for s in model.steps(words)], model.chain)
+    top = min(max(p.max(), 1e-4), 1 - 1e-4)
+    x = [np.log(top / (1 - top)), np.log(p.sum() + 0.01), np.log(p.mean() + 1e-4), 1.0]
+    return 1 / (1 + np.exp(-np.clip(np.dot(x, model.document), -30, 30)))
+
+
+def test_scores_against_brute_force(spark):
+    docs, labels = tables(spark)
+    model = toxicity.fit_toxicity(docs, labels)
+    texts = ["you awful zorgon", "zorgon bm cq dr", "aam bbn", "of a man you awful zorgon of a man", "ccq " * 9]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in frame.select(toxicity.toxicity_score(model)("text")).collect()]
+    assert np.allclose(got, [brute_document_score(model, t) for t in texts])
+    lines = quality.fit_quality(docs, labels)
+    for text in texts:
+        features, lengths, lines_of = quality.line_features([text + "\nsecond line here.\n@@@"])
+        p = brute_marginals(list(features @ lines.weights), lines.chain)
+        weight = lengths + 1.0
+        mean = np.clip((weight * p).sum() / weight.sum(), 1e-4, 1 - 1e-4)
+        x = [(weight * p).sum() / weight.sum(), np.log(mean / (1 - mean)), p.min(), np.log(weight.sum()) / 5, 1.0]
+        assert np.allclose(lines.scores([text + "\nsecond line here.\n@@@"]), 1 / (1 + np.exp(-np.clip(np.dot(x, lines.document), -30, 30))))

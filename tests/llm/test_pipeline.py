@@ -55,3 +55,27 @@ def test_toxicity_stage_keeps_all_without_both_classes(spark, tmp_path, toxic):
     (labels if toxic is not None else labels.limit(0)).write.parquet(f"{tmp_path}/labels.parquet")
     kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(31))
+
+
+def test_quality_stage_keeps_all_without_both_classes(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a text of number {i}") for i in range(30)] + [(30, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.select("doc_id", F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_low_quality(spark, docs, str(tmp_path)).collect()) == list(range(31))
+
+
+def test_stages_on_nulls_long_texts_repeated_rows_and_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, content string, digest string"
+    rows = [(1, None), (2, ""), (None, "no id here at all"), (3, "one two three four five six seven"), (3, "one two three four five six seven")]
+    rows += [(4, "word " * 40_000), (5, "One two three four five six seven"), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 1, 0.5, "c", "d") for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF_DIR)
+        assert kept.columns == docs.columns, name
+        assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}, name
+        if name == "exact dedup":
+            assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+                [(6, None), (None, "no id here at all"), (5, "One two three four five six seven"), (4, "word " * 40_000)], key=str
+            )
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+    assert pieces.groupBy().agg(F.count("*")).first()[0] >= len(rows)
