@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import documents_of, text_or_empty
-from rankwell.sources.scratch import scratch_path, shuffle_clean_up
+from rankwell.operators.skew import lookup_join
+from rankwell.sources.scratch import materialize, scratch_path, shuffle_clean_up
 
 CACHE_SCHEMA = "digest string, n_tokens long, tokenizer string"
 MEMO_WORDS = 700_000  # words whose counts a Python worker remembers; only speed depends on it
@@ -106,7 +107,8 @@ def count_tokens(
     ``tokenizer`` is the path of a tokenizers file, at the same place on every machine. ``cache`` is a folder all
     machines share; by default a new one below the shared scratch folder. Digests of the normalised contents that the
     cache lacks are reduced to one content each, encoded, and appended; counts then come from the cache. If a job is
-    lost half-way nothing is appended, and running it again is harmless: counts are looked up once per digest.
+    lost half-way nothing is appended, and running it again is harmless: counts are looked up once per digest. A digest of
+    which many documents are copies is looked up in parts.
     """
     spark = docs.sparkSession
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
@@ -129,8 +131,9 @@ def count_tokens(
 
     with shuffle_clean_up(spark):
         missing.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    keyed = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return keyed.join(read_cache(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens")
+    keyed = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest", F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("spread"))
+    keyed = materialize(keyed, "token-digests")  # short rows: counted for hot digests, then joined
+    return lookup_join(keyed, read_cache(spark, cache, version), "digest", "spread").select("doc_id", "n_bytes", "n_tokens")
 
 
 def query(docs: DataFrame) -> DataFrame:
