@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import documents_of, lower_ascii
+from rankwell.operators.skew import LEAST_HOT, LOOKUP_SHARE, lookup_join
 from rankwell.sources.scratch import materialize
 
 
@@ -28,8 +29,8 @@ def exact_duplicates(
     Texts are equal when identical after lower-casing A-Z only; null is the empty text. Of equal texts the largest id
     stays. Groups form in three steps, each comparing digest and whole content: inside a task (the partial sums of the
     first grouping), per salt of the id, so that a group holding a third of all rows is spread over ``salts`` keys, and
-    over the at most ``salts`` winners of a group. Rows then look up their group by digest; only contents that share a
-    digest with another content, which ``variants`` counts, are looked up by content as well.
+    over the at most ``salts`` winners of a group. Rows then look up their group by digest, with groups of over a
+    thousandth of all rows spread over several keys; only contents that share a digest with another content, which ``variants`` counts, are looked up by content as well.
 
     Rows with a null id count in their group; they stay only where no row of the group has an id. Rows that repeat an
     id and a text are all reported, all kept or all dropped (``keep_one`` leaves a single one). No rows give no rows.
@@ -45,7 +46,11 @@ def exact_duplicates(
         ),
         "exact-groups",
     )
-    plain = rows.select("doc_id", "digest").join(by_digest.filter("variants = 1").drop("variants"), "digest")
+    total = by_digest.agg(F.sum("group_size")).first()[0] or 0
+    per = max(LEAST_HOT, -(-total // LOOKUP_SHARE))
+    hot = by_digest.filter(F.col("group_size") > per).select("digest", F.ceil(F.col("group_size") / per).cast("int").alias("parts"))
+    spread = rows.select("doc_id", "digest", F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("spread"))
+    plain = lookup_join(spread, by_digest.filter("variants = 1").drop("variants"), "digest", "spread", hot=hot).drop("spread")
     clashing = by_digest.filter("variants > 1").select("digest")
     if not clashing.isEmpty():
         again = groups.join(clashing, "digest", "left_semi")

@@ -62,3 +62,12 @@ def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "n", "", 0), (5, "N", "", 0), (None, "m", "", 0)], DOCS)
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(docs).collect()}
     assert got == {(None, 5, 2, False), (5, 5, 2, True), (None, None, 1, True)}
+
+
+def test_hot_groups_are_looked_up_in_parts(spark, capsys):
+    rows = [(i, "hot") for i in range(3000)] + [(5, "HOT")] * 500 + [(10_000 + i, f"own {i}") for i in range(200)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS)
+    found = exact_duplicates(docs)
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows)
+    found.explain()
+    assert "__sub" in capsys.readouterr().out
