@@ -44,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": _over("documents", packing.query),
     "op9_exact_dedup": _over("documents", exact_dedup.query),
     "op10_url_filter": _over("pages", url_filters.query),
+    "url_redirects": _over("pages", url_filters.query_with_redirects),
     "op11_whitening": _over("embeddings", whitening.query),
     "op12_sharding": _over("documents", sharding.query),
     "op13_spelling_variants": _over("documents", spelling_variants.query),
@@ -53,6 +54,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": license_scan.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_url_filter": url_filters.SQL,
+    "url_redirects": url_filters.SQL_WITH_REDIRECTS,
     "op12_sharding": sharding.SQL,
     "op13_spelling_variants": spelling_variants.SQL,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankwell.llm.common import lower_ascii, text_or_empty
 from rankwell.llm.components import connected_components
+from rankwell.operators.skew import lookup_join
 from rankwell.sources.scratch import materialize
 
 # Verdict, host and path of every rule.
@@ -134,7 +135,7 @@ def filter_urls(
     shown = judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("verdict"), "key")
     if decided is None:
         return shown.drop("key").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
-    joined = shown.join(decided, "key", "left")
+    joined = lookup_join(shown.withColumn("spread", F.xxhash64("page_id")), decided, "key", "spread", "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("verdict", "passed_on", F.lit("allow")).alias("verdict"))
 
 
@@ -155,14 +156,26 @@ def _component_verdicts(links: list[DataFrame], rules: Sequence[tuple[str, str,
     ruled = located.withColumn("own", rule_of(F.col("host"), F.col("path"), rules)["verdict"]).select("key", "node", "own")
     members = materialize(ruled.join(components, "node"), "url-components")
     verdicts = members.groupBy("component").agg(F.min("own").alias("passed_on"))  # allow sorts before block
-    return members.join(verdicts, "component").select("key", "passed_on")
+    return lookup_join(members, verdicts, "component", "node").select("key", "passed_on")
 
 
 def query(pages: DataFrame) -> DataFrame:
     return filter_urls(pages)
 
 
-def _sql(rules: Sequence[tuple[str, str, str]] = RULES) -> str:
+def query_with_redirects(pages: DataFrame) -> DataFrame:
+    """Every page taken to redirect to the page whose number is the ten below it: components of up to ten pages."""
+    first = F.col("page_id") - F.col("page_id") % 10
+    sources = pages.select(F.col("url").alias("source"), first.alias("first"))
+    targets = pages.select(F.col("page_id").alias("first"), F.col("url").alias("target"))
+    return filter_urls(pages, redirects=sources.join(targets, "first").select("source", "target"))
+
+
+# Every page to the first of its ten, by the keys that pages go by.
+_TENS = "SELECT s.key, 'x://' || t.key AS target FROM k s JOIN k t ON t.page_id = s.page_id - s.page_id % 10 WHERE t.key IS NOT NULL"
+
+
+def _sql(rules: Sequence[tuple[str, str, str]] = RULES, redirects: str | None = None) -> str:
     listed = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in rules)
     return f"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES {listed}),
@@ -175,7 +188,8 @@ found AS (SELECT key, regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>
             (SELECT key, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>')) AS tag FROM k)
           UNION ALL
           SELECT key, regexp_extract(tag, '(?is)\\burl\\s*=\\s*[''"]?([^"''\\s>]+)', 1) FROM
-            (SELECT key, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>')) AS tag FROM k)),
+            (SELECT key, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>')) AS tag FROM k)
+          {"UNION ALL " + redirects if redirects else ""}),
 edges AS (SELECT key AS a, regexp_extract(target, '://(.*)$', 1) AS b FROM found WHERE target LIKE '%://%' AND key IS NOT NULL),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reached(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reached r JOIN both_ways e ON r.b = e.a),
@@ -189,3 +203,4 @@ FROM k LEFT JOIN fits f ON f.page_id = k.page_id AND f.nth = 1 LEFT JOIN passed
 
 
 SQL = _sql()
+SQL_WITH_REDIRECTS = _sql(redirects=_TENS)

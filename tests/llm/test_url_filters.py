@@ -99,3 +99,12 @@ def test_components_match_union_find(spark):
 
 def test_empty(spark):
     assert filter_urls(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_a_hub_that_a_third_of_all_pages_points_to(spark):
+    hub = "http://hub.example.org/es/"
+    rows = [(i, f"http://site{i}.net/p", f'<link rel="canonical" href="{hub}">') for i in range(900)]
+    rows += [(1000 + i, f"http://free{i}.net/", "") for i in range(300)] + [(5000 + i, rows[0][1], rows[0][2]) for i in range(400)]
+    got = {r.page_id: r.verdict for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert {v for i, v in got.items() if i < 1000 or i >= 5000} == {"block"} and {v for i, v in got.items() if 1000 <= i < 5000} == {"allow"}
