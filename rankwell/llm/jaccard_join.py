@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rankwell.llm.common import documents_of
 from rankwell.llm.components import connected_components
 from rankwell.llm.shingles import shingle_sets
+from rankwell.operators.skew import lookup_join
 from rankwell.sources.scratch import materialize
 
 CELL_BITS = 22  # 2**22 counters of shingle frequency, whatever the corpus; results never depend on them
@@ -331,7 +332,8 @@ def near_duplicates(
     joined = smallest.join(links.select(F.col("node").alias("key"), "component"), "key", "left")
     joined = joined.withColumn("component", F.coalesce("component", "key"))
     named = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    own = known.join(joined.join(named, "component").select("key", "component_id"), "key", "left")
+    of_class = materialize(lookup_join(joined, named, "component", "key").select("key", "component_id"), "jaccard-components")
+    own = lookup_join(known.withColumn("spread", F.xxhash64("doc_id")), of_class, "key", "spread", "left")
     component = F.coalesce("component_id", "doc_id").alias("component_id")
     return own.select("doc_id", F.col("n").alias("n_shingles"), component, F.col("key").alias("set_key"))
 
