@@ -20,6 +20,7 @@ SEQUENCE_TOKENS = 1024
 DIMENSIONS, BITS = 3, 16  # of the curve: a key of 48 bits
 FEATURES = 256  # of the hashed document vectors
 MEMO_WORDS = 700_000  # words whose ids a Python worker remembers; only speed depends on it
+RANGE_BYTES = 8 << 20  # of compressed ids, in a range that one task fills sequences from
 _BLOCK = 1 << 20  # ids of one output batch
 
 _WORKER: dict = {}
@@ -165,7 +166,8 @@ def pack_documents(
 ) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids), one row for every piece of a document.
 
-    Documents are tokenised once and written, then sorted by ranges of their Hilbert key (ties by id), and each range
+    Documents are tokenised once and written, then sorted by ranges of their Hilbert key (ties by id), about
+    ``RANGE_BYTES`` of compressed ids each, and each range
     fills sequences of ``sequence_tokens`` with document after document, cutting where a sequence is full. What is left
     at the end of a range is cut into sequences of a power of two, so nothing is padded. ``ids`` holds the piece's ids
     as little-endian 32-bit numbers. Sequence ids are the range's number times 2**40, and on from there.
@@ -174,7 +176,8 @@ def pack_documents(
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     tokens = materialize(tokenize_documents(docs, path, end_id, id_col, text_col), "packing-tokens")
-    along = tokens.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id")
+    packed = tokens.agg(F.coalesce(F.sum(F.octet_length("ids").cast("long")), F.lit(0))).first()[0]
+    along = tokens.repartitionByRange(1 + packed // RANGE_BYTES, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
