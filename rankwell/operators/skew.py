@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.sources.scratch import materialize
-
 LOOKUP_SHARE = 1000  # a key with more than 1/LOOKUP_SHARE of all rows is split; there are fewer than that many
 LEAST_HOT = 100  # rows that are never worth splitting
 
@@ -27,11 +25,12 @@ def every_sub_key(parts: Column) -> Column:
 def hot_keys(rows: DataFrame, key: str, share: int = LOOKUP_SHARE, least: int = LEAST_HOT) -> DataFrame:
     """``(key, parts)`` of the keys with over 1/``share`` of all rows, each part at most so many; fewer than ``share`` rows.
 
-    The rows are counted once; the counts are written.
+    The rows are evaluated once for this, beside the join that uses it: callers write rows that cost much.
     """
-    counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")), "key-counts")
-    per = max(least, -(-(counts.agg(F.sum("rows")).first()[0] or 0) // share))
-    return counts.filter(F.col("rows") > per).select(key, F.ceil(F.col("rows") / per).cast("int").alias("parts"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    per = F.greatest(F.ceil(F.col("total") / share), F.lit(least))
+    hot = counts.crossJoin(F.broadcast(counts.agg(F.sum("rows").alias("total")))).filter(F.col("rows") > per)
+    return hot.select(key, F.ceil(F.col("rows") / per).cast("int").alias("parts"))
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:

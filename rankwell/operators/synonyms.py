@@ -83,6 +83,8 @@ def _candidates(rows: DataFrame, words: str, synonyms: SynonymRules, key: list[s
             F.col(words), lambda term, pos: F.struct(pos.cast("int").alias("start"), term.alias("term"), F.array(term).alias("next"))
         )
     starts = rows.select(*key, F.inline_outer(window)).filter(F.col("term").isNotNull())
+    if not synonyms.small:
+        starts = materialize(starts, "phrase-starts")
     spans = synonyms.join(starts.withColumn("spread", F.xxhash64(*key, "start")), synonyms.heads, "term")
     phrase = F.array_join(F.expr("slice(next, 1, len)"), _GLUE).alias("phrase")
     spans = spans.select(*key, "start", "spread", "next", F.explode("lengths").alias("len")).filter(F.col("len") <= F.size("next"))
