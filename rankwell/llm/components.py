@@ -54,9 +54,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         left = left.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         left = _written(left.distinct(), rows, "component-edges")
         rows = left.count()
-    labels = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct().withColumn("node", F.xxhash64("number"))
+    labels = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
+    labels = _written(labels.withColumn("node", F.xxhash64("number")), rows_at_first, "component-labels")
     for pointers in rounds:
         labels = lookup_join(labels, pointers, "node", "number", "left").select("number", F.coalesce("root", "node").alias("node"))
-    labels = _written(labels, rows_at_first, "component-labels")
+        labels = _written(labels, rows_at_first, "component-labels")  # each round's lookup counts and reads them
     smallest = labels.groupBy("node").agg(F.min("number").alias("component"))
     return lookup_join(labels, smallest, "node", "number").select(F.col("number").alias("node"), "component")
