@@ -120,7 +120,7 @@ def fit(
     rounds: int = 60,
     rate: float = 0.3,
     decay: float = 1e-6,
-    portion: int = 400_000,
+    portion: int = 100_000,
 ) -> tuple[np.ndarray, Chain]:
     """Weights of ``features`` (a row per place) and the chain, by gradient steps (Adam) on the mean likelihood.
 

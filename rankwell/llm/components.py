@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.operators.skew import lookup_join
 from rankwell.sources.scratch import materialize
 
 ROWS_PER_TASK = 200_000
@@ -14,7 +13,7 @@ ROWS_PER_TASK = 200_000
 def _jump(pointers: DataFrame) -> DataFrame:
     """Every node to where the node it points to points."""
     onward = pointers.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    return lookup_join(pointers, onward, "root", "node").select("node", F.col("next").alias("root"))
+    return pointers.join(onward, "root").select("node", F.col("next").alias("root"))
 
 
 def _written(df: DataFrame, rows: int, name: str) -> DataFrame:
@@ -28,14 +27,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     A node's rank is xxhash64 of its number, which maps 64-bit numbers one to one, so paths that lead to ever smaller
     ranks are short whatever the order of the numbers. Each round points every node to its best-ranked neighbour,
     follows the pointers to their ends, and contracts the edges to those ends; edges left run into the next round.
-    Hubs cost no more than their edges: neighbours are reduced to a minimum, and where all nodes of a hub look up the same
-    node, the lookup is split. Every round is a written table,
+    Hubs cost no more than their edges: neighbours are only ever reduced to a minimum, and the joins that follow pointers
+    are plain ones on their own shuffles, whose large partitions adaptive execution splits. Every round is a written table,
     so no lineage builds up; at the end nodes follow the pointers of all rounds. Self-loops, repeated edges and null
     ends are harmless; nodes without edges are not listed.
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna().distinct()
     pairs = materialize(pairs, "component-pairs")
-    rows = rows_at_first = 2 * pairs.count()
+    rows = 2 * pairs.count()
     ranked = pairs.filter("a <> b").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     left, rounds = ranked.select(both.alias("e")).select("e.*"), []
@@ -43,21 +42,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         pointers = left.groupBy("a").agg(F.min("b").alias("b"))
         pointers = _written(pointers.select(F.col("a").alias("node"), F.least("a", "b").alias("root")), rows, "pointers")
         while True:
-            pointers = _written(_jump(pointers), rows, "pointers")
+            pointers = _written(_jump(_jump(pointers)), rows, "pointers")
             ends = pointers.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            if pointers.select("root").distinct().join(ends, "root").filter("next <> root").isEmpty():
+            if pointers.join(ends, "root").filter("next <> root").isEmpty():
                 break
         rounds.append(pointers)
         a = pointers.select(F.col("node").alias("a"), F.col("root").alias("x"))
         b = pointers.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        left = lookup_join(lookup_join(left, a, "a", "b"), b, "b", "a")
-        left = left.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        left = left.join(a, "a").join(b, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         left = _written(left.distinct(), rows, "component-edges")
         rows = left.count()
-    labels = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
-    labels = _written(labels.withColumn("node", F.xxhash64("number")), rows_at_first, "component-labels")
+    labels = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct().withColumn("node", F.xxhash64("number"))
     for pointers in rounds:
-        labels = lookup_join(labels, pointers, "node", "number", "left").select("number", F.coalesce("root", "node").alias("node"))
-        labels = _written(labels, rows_at_first, "component-labels")  # each round's lookup counts and reads them
+        labels = labels.join(pointers, "node", "left").select("number", F.coalesce("root", "node").alias("node"))
     smallest = labels.groupBy("node").agg(F.min("number").alias("component"))
-    return lookup_join(labels, smallest, "node", "number").select(F.col("number").alias("node"), "component")
+    return labels.join(smallest, "node").select(F.col("number").alias("node"), "component")

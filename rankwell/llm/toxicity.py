@@ -190,6 +190,8 @@ def fit_toxicity(
         evidence[form] = float(odds - 1.5 * np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5)))
     model = ToxicityModel({f: e for f, e in evidence.items() if e > _EDGES[0]})
     steps = [model.steps(own) for own in words]
+    del texts, words  # the driver holds either the words or the fit
+    model.forget()
     seed_step = int(np.searchsorted(_EDGES, _SEED, side="right"))
     tags = [((s >= seed_step) & (s < _NO_EVIDENCE)) * label for s, label in zip(steps, toxic, strict=True)]
     lengths = np.array([len(own) for own in steps])
