@@ -56,6 +56,10 @@ def main() -> None:
     times["append_index"] = timed(lambda: write_index(inputs.turns(spark, SF_DIR), f"{folder}/index", "append"))
     times["read_questions"] = timed(lambda: read_questions(spark, inputs.bracket_file(spark, SF_DIR)).count())
     times["search_clauses"] = timed(lambda: search(inputs.two_sided_batch(spark, SF_DIR), index, sim=0).collect())
+    times["read_synonyms"] = timed(lambda: inputs.synonyms(spark, SF_DIR))
+    rules = inputs.synonyms(spark, SF_DIR)
+    expanded = build_index(questions, rules, fields=("question",))
+    times["search_synonyms"] = timed(lambda: search(queries, expanded, sim=4, synonyms=rules).collect())
     spark.stop()
     print(
         json.dumps(
