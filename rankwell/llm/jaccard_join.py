@@ -20,14 +20,29 @@ CELL_BITS = 22  # 2**22 counters of shingle frequency, whatever the corpus; resu
 _CHUNK = 1 << 16
 HOT = 200_000  # rows of one shingle, above which it is dealt over several keys
 BLOCK_ROWS = 1_000  # documents that one task compares with each other, or with as many others
+BLOCK_SHINGLES = 4_000_000  # and their shingles on average, which bounds a block of very long documents
+_TASKS = 256  # whose counts of shingles are added up first
 _CLASSES = 16  # of shingles, for the suffix filter
 _MANY = 16  # sets left to verify for one, from which their overlaps are counted together
-_PART = 200  # documents whose sets are worked out at a time
+_PART = 200  # documents whose sets are worked out at a time,
+_PART_CHARS = 4_000_000  # and their characters, but for a text that is longer by itself
 
 
-def class_key(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set: documents of one set are one class."""
-    return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+class SetNames:
+    """Names of sets, whose documents are one class: the first 64 bits of a 128-bit digest, or, where these belong to
+    several sets of the corpus (``shared``), the last 64. ``bits`` of the first are used, fewer than 64 only in tests."""
+
+    def __init__(self, bits: int = 64, shared: frozenset[int] = frozenset()):
+        self.bits, self.shared = bits, shared
+
+    def both(self, shingles: np.ndarray) -> tuple[int, int]:
+        digest = blake2b(shingles.tobytes(), digest_size=16).digest()
+        first = int.from_bytes(digest[:8], "little", signed=True)
+        return first >> (64 - self.bits), int.from_bytes(digest[8:], "little", signed=True)
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        first, last = self.both(shingles)
+        return last if first in self.shared else first
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -35,14 +50,24 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def _portions(texts: pd.Series) -> Iterator[slice]:
+    start, size = 0, 0
+    for at, text in enumerate(texts):
+        size += len(text or "")
+        if at > start and (at - start == _PART or size > _PART_CHARS):
+            yield slice(start, at)
+            start, size = at, len(text or "")
+    yield slice(start, len(texts))
+
+
 def _parts(batch: pd.DataFrame, words: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    for start in range(0, len(batch), _PART):
-        part = batch.iloc[start : start + _PART]
+    for portion in _portions(batch["text"]):
+        part = batch.iloc[portion]
         yield part, shingle_sets(part["text"].tolist(), words)
 
 
-def _first_pass(rows: DataFrame, words: int, id_type: str) -> DataFrame:
-    """Per document its number of shingles and class key; per task its counts of shingles by cell, compressed."""
+def _first_pass(rows: DataFrame, words: int, names: SetNames, id_type: str) -> DataFrame:
+    """Per document its number of shingles and its set's name; per task its counts of shingles by cell, compressed."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -52,16 +77,18 @@ def _first_pass(rows: DataFrame, words: int, id_type: str) -> DataFrame:
             for part, sets in _parts(batch, words):
                 joined = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 np.add.at(cells, (joined >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
-                keys = [class_key(s) if len(s) else None for s in sets]
+                keys = [names.both(s) if len(s) else (None, None) for s in sets]
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"], "n": [len(s) for s in sets], "key": pd.array(keys, "Int64"), "chunk": -1, "counts": None,
+                    "doc_id": part["doc_id"], "n": [len(s) for s in sets], "key": pd.array([k for k, _ in keys], "Int64"),
+                    "last": pd.array([k for _, k in keys], "Int64"), "chunk": -1, "counts": None,
                 })
         packed = zstandard.ZstdCompressor(level=1)
         for chunk in range(len(cells) // _CHUNK if cells.any() else 0):
             counts = packed.compress(cells[chunk * _CHUNK : (chunk + 1) * _CHUNK].tobytes())
-            yield pd.DataFrame({"doc_id": [None], "n": [0], "key": pd.array([None], "Int64"), "chunk": [chunk], "counts": [counts]})
+            no = pd.array([None], "Int64")
+            yield pd.DataFrame({"doc_id": [None], "n": [0], "key": no, "last": no, "chunk": [chunk], "counts": [counts]})
 
-    return rows.mapInPandas(count, f"doc_id {id_type}, n long, key long, chunk int, counts binary")
+    return rows.mapInPandas(count, f"doc_id {id_type}, n long, key long, last long, chunk int, counts binary")
 
 
 def _cell_counts(passed: DataFrame) -> np.ndarray:
@@ -82,7 +109,9 @@ def _cell_counts(passed: DataFrame) -> np.ndarray:
 
     import zstandard
 
-    summed = passed.filter("chunk >= 0").select("chunk", "counts").repartition("chunk").mapInPandas(add, "chunk int, counts binary")
+    group = F.floor(F.spark_partition_id() / _TASKS).alias("tasks")
+    summed = passed.filter("chunk >= 0").select("chunk", "counts", group).repartition("chunk", "tasks").drop("tasks")
+    summed = summed.mapInPandas(add, "chunk int, counts binary").repartition("chunk").mapInPandas(add, "chunk int, counts binary")
     cells = np.zeros(1 << CELL_BITS, np.uint32)
     for row in summed.collect():  # a fixed number of rows of a fixed size
         cells[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.counts), np.uint32)
@@ -95,7 +124,11 @@ def rare_first(shingles: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return np.argsort((counts << np.uint64(40)) | (shingles >> np.uint64(24)), kind="stable")
 
 
-def _prefixes(rows: DataFrame, cells, words: int, percent: int, hot: int) -> DataFrame:
+def _prefix(shingles: np.ndarray, cells: np.ndarray, percent: int) -> np.ndarray:
+    return shingles[rare_first(shingles, cells)[: len(shingles) - least_overlap(len(shingles), percent) + 1]]
+
+
+def _prefixes(rows: DataFrame, cells, names: SetNames, words: int, percent: int, hot: int) -> DataFrame:
     """(shingle, salt, key, n): the prefix of every set, once per class and task.
 
     Two sets that link share a shingle of their prefixes, the rarest n - least_overlap(n) + 1 shingles. A shingle whose
@@ -109,10 +142,10 @@ def _prefixes(rows: DataFrame, cells, words: int, percent: int, hot: int) -> Dat
             for _, sets in _parts(batch, words):
                 shingles, keys, sizes = [], [], []
                 for s in sets:
-                    if not len(s) or (key := class_key(s)) in seen:
+                    if not len(s) or (key := names(s)) in seen:
                         continue
                     seen.add(key)
-                    prefix = s[rare_first(s, counted)[: len(s) - least_overlap(len(s), percent) + 1]]
+                    prefix = _prefix(s, counted, percent)
                     shingles.append(prefix)
                     keys.append(np.full(len(prefix), key))
                     sizes.append(np.full(len(prefix), len(s)))
@@ -167,6 +200,27 @@ def _clusters(prefixes: DataFrame, percent: int) -> DataFrame:
     return found.select(F.col("node").alias("key"), F.col("component").alias("cluster"))
 
 
+def _meetings(large: DataFrame, cells, names: SetNames, words: int, percent: int) -> DataFrame:
+    """(key, other): the further blocks of its cluster that hold a shingle of a class's prefix, in a set of a size that
+    may link to it; from rows (cluster, block, key, text)."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, sets in _parts(batch, words):
+                for cluster, block, key, s in zip(part["cluster"], part["block"], part["key"], sets, strict=True):
+                    if len(s) and names(s) == key:
+                        prefix = _prefix(s, cells.value, percent).view(np.int64)
+                        yield pd.DataFrame({"shingle": prefix, "cluster": cluster, "block": block, "key": key, "n": len(s)})
+
+    emitted = large.mapInPandas(emit, "shingle long, cluster long, block int, key long, n long")
+    held = materialize(emitted, "jaccard-block-shingles")
+    blocks = held.groupBy("shingle", F.col("cluster").alias("of"), F.col("block").alias("other"))
+    blocks = blocks.agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    met = lookup_join(held, blocks, "shingle", "key").filter("cluster = of and block <> other")
+    met = met.filter((F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent))
+    return met.select("key", "other").distinct()
+
+
 class _Forest:
     def __init__(self, n: int):
         self.label, self.members = np.arange(n), {i: [i] for i in range(n)}
@@ -258,7 +312,7 @@ def link_sets(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = N
     return links
 
 
-def _verified(members: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(members: DataFrame, names: SetNames, words: int, percent: int) -> DataFrame:
     """(a, b): links between classes, from rows (cluster, pair, side, key, text) sorted by cluster and pair."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,7 +330,7 @@ def _verified(members: DataFrame, words: int, percent: int) -> DataFrame:
                     if (cluster, pair) != open_group:
                         links += close()
                         open_group, keys, sets, sides = (cluster, pair), [], [], []
-                    if len(s) and class_key(s) == key and key not in keys[-1:]:
+                    if len(s) and names(s) == key and key not in keys[-1:]:
                         keys.append(key)
                         sets.append(s)
                         sides.append(side)
@@ -287,6 +341,52 @@ def _verified(members: DataFrame, words: int, percent: int) -> DataFrame:
     return dealt.mapInPandas(link, "a long, b long")
 
 
+def _paired(texts: DataFrame, cells, names: SetNames, words: int, percent: int) -> DataFrame:
+    """(cluster, pair, side, key, text): every class in its own block, and in one pair of blocks for each block it meets."""
+    large = texts.filter("blocks > 1")
+    met = _meetings(large, cells, names, words, percent)
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(F.col("block") < F.col("other"), 1).otherwise(2)
+    across = large.join(met, "key").select("cluster", F.concat_ws("-", low, high).alias("pair"), side.alias("side"), "key", "text")
+    own = texts.select("cluster", F.concat_ws("-", "block", "block").alias("pair"), F.lit(0).alias("side"), "key", "text")
+    return own.unionByName(across)
+
+
+def _near_duplicates(
+    docs: DataFrame, words: int, percent: int, hot: int, block_rows: int, block_shingles: int, key_bits: int, id_col: str, text_col: str
+) -> tuple[DataFrame, SetNames]:
+    spark, names = docs.sparkSession, SetNames(key_bits)
+    rows = documents_of(docs, id_col, text_col).withColumn("text", F.col("text").cast("string"))
+    passed = materialize(_first_pass(rows, words, names, docs.schema[id_col].dataType.simpleString()), "jaccard-documents")
+    known = passed.filter("chunk < 0").select("doc_id", "n", "key", "last")
+    cells = spark.sparkContext.broadcast(_cell_counts(passed))  # 2**CELL_BITS numbers of four bytes
+    first = known.filter("key is not null").groupBy("key")
+    first = first.agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.min("last").alias("low"), F.max("last").alias("high"))
+    smallest = materialize(first, "jaccard-classes")
+    shared = [r.key for r in smallest.filter("low <> high").select("key").collect()]  # squared documents / 2**65 on average
+    if shared:
+        names = SetNames(key_bits, frozenset(shared))
+        known = known.withColumn("key", F.when(F.col("key").isin(shared), F.col("last")).otherwise(F.col("key")))
+        smallest = known.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
+    smallest = smallest.select("key", "first_id", "n")
+    clusters = _clusters(_prefixes(rows, cells, names, words, percent, hot), percent)
+    members = materialize(clusters.join(smallest, "key").filter("first_id is not null"), "jaccard-clusters")
+    blocks = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
+    members = lookup_join(members, members.groupBy("cluster").agg(blocks), "cluster", "key")
+    members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # the clusters grow with the corpus, so they are never broadcast, small as they may be here
+    texts = rows.withColumnRenamed("doc_id", "first_id").join(members.hint("merge"), "first_id")
+    texts = materialize(texts.select("cluster", "blocks", "block", "key", "text"), "jaccard-texts")
+    links = connected_components(_verified(_paired(texts, cells, names, words, percent), names, words, percent))
+    joined = smallest.join(links.select(F.col("node").alias("key"), "component"), "key", "left")
+    joined = joined.withColumn("component", F.coalesce("component", "key"))
+    named = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of_class = materialize(lookup_join(joined, named, "component", "key").select("key", "component_id"), "jaccard-components")
+    own = lookup_join(known.withColumn("spread", F.xxhash64("doc_id")), of_class, "key", "spread", "left")
+    component = F.coalesce("component_id", "doc_id").alias("component_id")
+    return own.select("doc_id", F.col("n").alias("n_shingles"), component, F.col("key").alias("set_key")), names
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -294,6 +394,8 @@ def near_duplicates(
     percent: int = 80,
     hot: int = HOT,
     block_rows: int = BLOCK_ROWS,
+    block_shingles: int = BLOCK_SHINGLES,
+    key_bits: int = 64,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -302,49 +404,27 @@ def near_duplicates(
     Two documents link when the overlap of their sets of ``words``-word shingles is at least ``percent`` of the union;
     component_id is the smallest id that links lead to, the document's own included. Equal sets are one class, of which
     one document is compared. Prefix shingles, rarest first by counts over all documents, tie classes into clusters that
-    no link leaves; each cluster is joined by itself, in blocks of ``block_rows`` where it is larger, every block with
-    every other. Only links that connect something new are passed on, so a group of copies costs as many rows as it
-    has documents.
+    no link leaves; each cluster is joined by itself. One of over ``block_rows`` classes, or ``block_shingles`` shingles,
+    is dealt over blocks, and a class meets another block only where that holds a shingle of its prefix, in a set of a
+    size that may link. Only links that connect something new are passed on, so a group of copies costs as many rows as
+    it has documents.
 
     Null, empty and wordless texts have no shingles and link with nothing. Rows that share an id are compared each with
     its text, and belong to the same component only where their texts do. A row without an id gets the component of its
     set, if documents with ids share it. No rows give no rows.
     """
-    spark = docs.sparkSession
-    rows = documents_of(docs, id_col, text_col).withColumn("text", F.col("text").cast("string"))
-    passed = materialize(_first_pass(rows, words, docs.schema[id_col].dataType.simpleString()), "jaccard-documents")
-    known = passed.filter("chunk < 0").select("doc_id", "n", "key")
-    cells = spark.sparkContext.broadcast(_cell_counts(passed))  # 2**CELL_BITS numbers of four bytes
-    clusters = _clusters(_prefixes(rows, cells, words, percent, hot), percent)
-    smallest = known.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"))
-    members = materialize(clusters.join(smallest, "key").filter("first_id is not null"), "jaccard-clusters")
-    blocks = F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")
-    members = members.join(members.groupBy("cluster").agg(blocks), "cluster")
-    members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    # the clusters grow with the corpus, so they are never broadcast, small as they may be here
-    texts = rows.withColumnRenamed("doc_id", "first_id").join(members.hint("merge"), "first_id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = texts.select("cluster", "key", "text", "block", other)
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    side = F.when(F.col("block") < F.col("other"), 1).when(F.col("block") > F.col("other"), 2).otherwise(0)
-    paired = paired.select("cluster", F.concat_ws("-", low, high).alias("pair"), side.alias("side"), "key", "text")
-    links = connected_components(_verified(paired, words, percent))
-    joined = smallest.join(links.select(F.col("node").alias("key"), "component"), "key", "left")
-    joined = joined.withColumn("component", F.coalesce("component", "key"))
-    named = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_class = materialize(lookup_join(joined, named, "component", "key").select("key", "component_id"), "jaccard-components")
-    own = lookup_join(known.withColumn("spread", F.xxhash64("doc_id")), of_class, "key", "spread", "left")
-    component = F.coalesce("component_id", "doc_id").alias("component_id")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), component, F.col("key").alias("set_key"))
+    return _near_duplicates(docs, words, percent, hot, block_rows, block_shingles, key_bits, id_col, text_col)[0]
 
 
-def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, *, words: int = 5, percent: int = 80, key_bits: int = 64, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``docs`` with one row of every component, that with its smallest id; all columns as they were.
 
     Of rows that share an id and a set one stays, and so does one of rows without an id whose set no row with an id has.
     Rows without shingles all stay, but for repetitions of an id and a text.
     """
-    found = near_duplicates(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
+    found, names = _near_duplicates(docs, words, percent, HOT, BLOCK_ROWS, BLOCK_SHINGLES, key_bits, id_col, text_col)
     found = found.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     found = found.select(F.col("doc_id").alias("__keep_id"), F.col("set_key").alias("__keep_key")).distinct()
 
@@ -352,8 +432,8 @@ def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str
     def key_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             keys: list[int | None] = []
-            for start in range(0, len(texts), _PART):
-                keys += [class_key(s) if len(s) else None for s in shingle_sets(texts.iloc[start : start + _PART].tolist(), words)]
+            for portion in _portions(texts):
+                keys += [names(s) if len(s) else None for s in shingle_sets(texts.iloc[portion].tolist(), words)]
             yield pd.Series(keys, dtype="Int64")
 
     marked = docs.withColumn("__set_key", key_of(docs[text_col].cast("string")))

@@ -9,14 +9,16 @@ _FACTOR = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _BYTE_CODES = np.random.default_rng(2).integers(1, 1 << 63, 256, dtype=np.uint64)
 _TABLES: dict[str, np.ndarray] = {}
+_KEPT = 1 << 23  # powers that a worker keeps; longer tables go with the texts they were made for
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the next call."""
+    """base**0 .. base**(n-1) modulo 2**64; short tables are kept for the next call."""
     known = _TABLES.get(str(base), np.ones(1, np.uint64))
     while len(known) < n:
         known = np.concatenate([known, known * np.uint64(pow(base, len(known), 1 << 64))])
-    _TABLES[str(base)] = known
+    if len(known) <= _KEPT:
+        _TABLES[str(base)] = known
     return known[:n]
 
 

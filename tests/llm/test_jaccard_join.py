@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from rankwell.llm.jaccard_join import link_sets, near_duplicates
+from rankwell.llm.jaccard_join import CELL_BITS, SetNames, _paired, _prefix, keep_one, link_sets, near_duplicates
 from rankwell.llm.shingles import shingle_sets
 
 DOCS = "doc_id long, text string, key long, n int"
@@ -54,7 +54,7 @@ def near_copies(seed, n=40):
     return [*enumerate([*rows, None, "", " \n", "One", "one", "é É", "É é"], start=10)]
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 1, "block_rows": 3}])
+@pytest.mark.parametrize("options", [{}, {"hot": 1, "block_rows": 3}, {"block_shingles": 100, "key_bits": 5}])
 def test_components_against_brute_force(spark, options):
     rows = near_copies(1)
     got = near_duplicates(spark.createDataFrame([(i, t, 0, 0) for i, t in rows], DOCS), **options).collect()
@@ -103,3 +103,36 @@ def test_empty_repeated_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id if r.n_shingles == 2 else None) for r in got) == [
         (0, 1, None), (0, 2, 0), (0, 2, 0), (1, 2, 0), (1, 2, 0),
     ]
+
+
+def test_names_that_several_sets_share(spark):
+    rows = near_copies(2)
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], DOCS)
+    kept = sorted(r.doc_id for r in keep_one(docs, key_bits=4).collect())
+    assert kept == sorted(i for i, n, component in brute(rows) if i == component or not n)
+
+
+def test_very_long_texts(spark):
+    dice = random.Random(8)
+    long = [f"w{dice.randrange(10**6)}" for _ in range(400_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:360_000])), (3, " ".join(long[:200_000])), (4, "short text"), (5, "y" * 2_000_000)]
+    got = near_duplicates(spark.createDataFrame([(i, t, 0, 0) for i, t in rows], DOCS)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
+
+
+def test_blocks_of_a_chain_of_unlike_documents_meet_by_shingles_alone(spark):
+    """A text goes to its own block and to those that hold a shingle of its prefix, however many blocks its cluster has."""
+    passages = [[f"p{i}x{j}" for j in range(30)] for i in range(121)]
+    texts = [" ".join(passages[i] + passages[i + 1]) for i in range(120)]  # each shares a passage with the next
+    names, cells, blocks = SetNames(), np.zeros(1 << CELL_BITS, np.uint32), 40
+    sets = shingle_sets(texts)
+    keys = [names(s) for s in sets]
+    block = {key: i % blocks for i, key in enumerate(keys)}
+    prefixes = {key: set(_prefix(s, cells, 80).tolist()) for key, s in zip(keys, sets, strict=True)}
+    expected = {(k, block[k], block[k]) for k in keys}
+    for k in keys:
+        expected |= {(k, *sorted((block[k], block[m]))) for m in keys if block[m] != block[k] and prefixes[k] & prefixes[m]}
+    given = spark.createDataFrame([(7, blocks, block[k], k, t) for k, t in zip(keys, texts, strict=True)], "cluster long, blocks int, block int, key long, text string")
+    got = _paired(given, spark.sparkContext.broadcast(cells), names, 5, 80).collect()
+    assert sorted((r.key, *map(int, r.pair.split("-"))) for r in got) == sorted(expected)
+    assert len(got) <= 3 * len(texts) < blocks * len(texts)
