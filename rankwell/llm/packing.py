@@ -77,18 +77,23 @@ class Encoder:
         except KeyError:
             if len(known) > MEMO_WORDS:
                 known.clear()
-            self._learn(list({word: None for word in words if word not in known}))
+            if not self._learn(list({word: None for word in words if word not in known})):
+                return self._direct(text)
             return self._direct(first) + b"".join(map(known.__getitem__, words))
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words, encoded in one go: no word holds a space, so a token that begins with one begins a word."""
+    def _learn(self, words: list[str]) -> bool:
+        """Ids of new words, encoded in one go: no word holds a space, so a token that begins with one begins a word.
+
+        False, and nothing learnt, where not every word has such a token: then the text is encoded whole.
+        """
         ids = np.asarray(self._bpe.encode_ordinary(" " + " ".join(words)), "<u2")
         begins = np.flatnonzero(self._begins_word[ids])
         if len(begins) != len(words):
-            raise AssertionError("a word without a token of its own")
+            return False
         whole = ids.tobytes()
         cuts = [*(2 * begins).tolist(), len(whole)]
         self._known.update((word, whole[a:b]) for word, a, b in zip(words, cuts, cuts[1:], strict=False))
+        return True
 
 
 def _encoder(path: str) -> Encoder:

@@ -123,3 +123,11 @@ def test_sentencepiece_operator_round_trip(spark):
     assert all(list(r.ids) == _piece().encode(texts[r.doc_id] or "") for r in decoded)
     assert all(r.round_trip for r in sentencepiece_viterbi.query(frame(spark, texts)).collect())
     assert sentencepiece_viterbi.query(frame(spark, []).limit(0)).count() == 0
+
+
+def test_words_that_cannot_be_told_apart_are_encoded_with_their_text():
+    encoder, library = packing.Encoder(BYTE), Tokenizer.from_file(BYTE)
+    encoder._begins_word = np.zeros_like(encoder._begins_word)
+    for text in ("some words of a text", "one", "a b\nc d"):
+        assert np.frombuffer(encoder.ids(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not encoder._known
