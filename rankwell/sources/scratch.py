@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_INSIDE: WeakKeyDictionary[SparkSession, tuple[int, str | None]] = WeakKeyDictionary()  # users, and the caller's setting
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,16 +39,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def shuffle_clean_up(spark: SparkSession) -> Iterator[None]:
-    """Inside, shuffle files go as soon as the query that made them has ended, not when the driver collects garbage."""
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
+    """Inside, shuffle files go as soon as the query that made them has ended, not when the driver collects garbage.
+
+    Threads that share a session may be inside together: the last one to leave puts the caller's setting back.
+    """
+    with _LOCK:
+        users, before = _INSIDE.get(spark, (0, None))
+        if not users:
+            before = spark.conf.get(_CLEAN_UP, None)
+            spark.conf.set(_CLEAN_UP, "true")
+        _INSIDE[spark] = (users + 1, before)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN_UP)
-        else:
-            spark.conf.set(_CLEAN_UP, before)
+        with _LOCK:
+            users, before = _INSIDE.pop(spark)
+            if users > 1:
+                _INSIDE[spark] = (users - 1, before)
+            elif before is None:
+                spark.conf.unset(_CLEAN_UP)
+            else:
+                spark.conf.set(_CLEAN_UP, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

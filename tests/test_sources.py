@@ -1,6 +1,7 @@
 import random
 from contextlib import redirect_stdout
 from io import StringIO
+from threading import Event, Thread
 
 import duckdb
 import pytest
@@ -25,7 +26,7 @@ from rankwell import (
     write_xml,
 )
 from rankwell.schema import QUESTION
-from rankwell.sources import index_store
+from rankwell.sources import index_store, scratch
 from verification.oracle import questions_sql
 
 QUIRKS = [
@@ -72,7 +73,7 @@ def _expected(files):
     return [row[:3] for row in connection.execute(f"SELECT id, topic, body, ord FROM ({questions_sql('lines')}) ORDER BY ord").fetchall()]
 
 
-def test_random_files_match_line_by_line_reading(spark, tmp_path, tiny_splits):
+def test_random_files_agree_with_sql_over_numbered_lines(spark, tmp_path, tiny_splits):
     rng = random.Random(7)
     pieces = ["[a] t", "[] none", "[b]", "body one", " two ", "x", "][bad", "see [c] d", "long body line here"]
     files = {f"f{n}.txt": [rng.choice(pieces) for _ in range(rng.randint(1, 25))] for n in range(4)}
@@ -219,3 +220,50 @@ def test_xml(spark, questions, tmp_path):
     write_xml(questions(("3", "", "w")), path)
     back = spark.read.format("xml").option("rowTag", "doc").load(path)
     assert back.count() == 3
+
+
+def test_threads_inside_together_leave_the_callers_setting(spark):
+    def setting():
+        return spark.conf.get(scratch._CLEAN_UP, None)
+
+    inside, leave, seen = Event(), Event(), []
+
+    def other():
+        with scratch.shuffle_clean_up(spark):
+            inside.set()
+            leave.wait(60)
+            seen.append(setting())
+
+    for before in (None, "false"):
+        spark.conf.unset(scratch._CLEAN_UP) if before is None else spark.conf.set(scratch._CLEAN_UP, before)
+        outside = setting()
+        thread = Thread(target=other)
+        with scratch.shuffle_clean_up(spark):
+            thread.start()
+            assert inside.wait(60)
+        assert setting() == "true"  # the other thread is still inside
+        leave.set()
+        thread.join()
+        assert seen.pop() == "true" and setting() == outside
+        inside.clear(), leave.clear()
+    with pytest.raises(ValueError), scratch.shuffle_clean_up(spark), scratch.shuffle_clean_up(spark):
+        raise ValueError
+    assert setting() == outside
+    spark.conf.unset(scratch._CLEAN_UP)
+
+
+def test_no_intermediate_tables_in_a_machines_own_folder():
+    class Context:
+        master = "spark://machine:7077"
+
+        def __init__(self, folder):
+            self.getCheckpointDir = lambda: folder
+
+    class Session:
+        def __init__(self, setting=None, folder=None):
+            self.conf, self.sparkContext = {"spark.checkpoint.dir": setting}, Context(folder)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(Session())
+    assert scratch.scratch_path(Session("s3://shared/", "hdfs://other"), "x").startswith("s3://shared/x-")
+    assert scratch.shared_folder(Session(None, "hdfs://other")) == "hdfs://other"
