@@ -154,7 +154,8 @@ def encode_pieces(docs: DataFrame, *, model: str | None = None, id_col: str = "d
 
     ``model`` is the path of a SentencePiece BPE model with byte fallback, at the same place on every machine. Words
     are what stands between spaces, with the spaces before them as marks; no piece reaches over the end of one. Each
-    task encodes the distinct words of its batches over the trie of their letters. Null and empty texts have no ids.
+    task encodes the distinct words of its batches over the trie of their letters. Null and empty texts have no ids,
+    repeated rows each their own, and no rows give none. A literal ▁ has the ids of a space, as in the library.
     """
     path = model or public_tokenizers.path("piece_bpe_32k.model")
 
@@ -171,7 +172,11 @@ def encode_pieces(docs: DataFrame, *, model: str | None = None, id_col: str = "d
 
 
 def decode_pieces(path: str | None = None) -> Column:
-    """A function of a column of ids: the text they stand for."""
+    """A function of a column of ids: the text they stand for.
+
+    Null and empty arrays give the empty text; bytes that are no UTF-8 become replacement characters, and what was a
+    literal ▁ before encoding comes back as a space.
+    """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     @F.pandas_udf("string")

@@ -40,7 +40,7 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
     """The longest rule (as host and path written together) that fits, as a struct of rule and verdict; else null.
 
-    A rule fits its host and every subdomain of it where the path starts with the rule's. Of two rules of equal text an
+    A rule fits its host and every subdomain of it where the path starts with the rule's. Of two rules of equal length an
     allow goes first. Rules are part of the expression: they are a list that a person writes, not a table.
     """
     longest_first = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow"))

@@ -105,6 +105,18 @@ def test_empty_repeated_and_null_ids(spark):
     ]
 
 
+def test_keep_one_without_ids_and_without_words(spark):
+    rows = [
+        (None, "a b c"), (None, "A b c"), (None, "x y z"), (9, "X y z"), (4, "x y z"), (None, ""), (None, ""), (None, None),
+        (7, " "), (7, " "), (7, ""), (8, None), (8, None), (3, "a lone one"), (3, "a lone one"), (3, "another text"),
+    ]
+    kept = keep_one(spark.createDataFrame([(i, t, 0, 0) for i, t in rows], DOCS))
+    assert kept.columns == ["doc_id", "text", *kept.columns[2:]]
+    got = sorted(((r.doc_id, r.text.lower() if r.text else r.text) for r in kept.collect()), key=str)
+    want = [(None, "a b c"), (4, "x y z"), (None, ""), (None, None), (7, " "), (7, ""), (8, None), (3, "a lone one"), (3, "another text")]
+    assert got == sorted(want, key=str)
+
+
 def test_names_that_several_sets_share(spark):
     rows = near_copies(2)
     docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], DOCS)

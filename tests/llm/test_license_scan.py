@@ -1,5 +1,6 @@
 import random
 import re
+from collections import defaultdict
 
 from rankwell.llm.license_scan import BASE, NOTICES, WORD, query, scan_licenses
 
@@ -46,6 +47,51 @@ def test_notice_with_changes_is_found_whole(spark):
     assert {s.label for s in row.spans} >= {"apache", "apache-notice"}
 
 
+def brute_notices(text, slack=3, least=0.8):
+    """Per notice, places of its word pairs by diagonal; runs of diagonals with no gap above ``slack`` are one span."""
+    words, found = words_of(text), []
+    places = defaultdict(list)
+    for place, pair in enumerate(zip(words, words[1:])):
+        places[pair].append(place)
+    for notice, label in NOTICES:
+        parts = notice.split()
+        hits = sorted((place - t, place, t) for t, pair in enumerate(zip(parts, parts[1:])) for place in places[pair])
+        runs = []
+        for hit in hits:
+            if not runs or hit[0] - runs[-1][-1][0] > slack:
+                runs.append([])
+            runs[-1].append(hit)
+        for run in runs:
+            coverage = len({t for _, _, t in run}) / (len(parts) - 1)
+            if coverage >= least:
+                found.append((min(p for _, p, _ in run), max(p for _, p, _ in run) + 2, label, coverage))
+    return sorted(found)
+
+
+def changed_notices(dice):
+    """Notices one after another, words of them left out, put in or replaced, with filler between."""
+    out = []
+    for _ in range(dice.randrange(1, 5)):
+        out += ["filler"] * dice.randrange(6)
+        for word in dice.choice(NOTICES)[0].split():
+            kind = dice.random()
+            out += [word] if kind > 0.06 else [] if kind < 0.02 else ["new", word] if kind < 0.04 else ["other"]
+    return " ".join(out)
+
+
+def test_notices_against_brute_force(spark):
+    dice = random.Random(11)
+    texts = [changed_notices(dice) for _ in range(200)]
+    texts += [None, "", " ".join(NOTICES[1][0].split() * 400), " ".join(n for n, _ in NOTICES), NOTICES[4][0] + " " + NOTICES[4][0]]
+    got = {
+        row.doc_id: sorted((s.start, s.end, s.label, round(s.coverage, 9)) for s in row.spans if not s.base)
+        for row in scan_licenses(frame(spark, texts)).collect()
+    }
+    want = {i: [(*span[:3], round(span[3], 9)) for span in brute_notices(text)] for i, text in enumerate(texts)}
+    assert got == want
+    assert 50 < sum(map(len, want.values()))
+
+
 def test_far_pieces_are_no_notice(spark):
     words = NOTICES[1][0].split()
     scattered = " ".join(words[:12]) + " filler" * 50 + " " + " ".join(words[12:])

@@ -105,6 +105,27 @@ def test_packing_covers_every_id_once_without_padding(spark):
     assert packing.query(frame(spark, []).limit(0)).count() == 0
 
 
+REPEATED = [(1, "some words"), (1, "some words"), (1, "other words here"), (None, "no id"), (None, None), (2, ""), (2, "")]
+
+
+def test_rows_that_repeat_ids_or_have_none_are_kept_each(spark):
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in REPEATED], DOCS)
+
+    def ordered(rows):
+        return sorted(rows, key=str)
+
+    counted = token_counts.query(docs).collect()
+    assert ordered((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in counted) == ordered(
+        (i, len(t or ""), len(_word().encode(t or "", add_special_tokens=False)), False) for i, t in REPEATED
+    )
+    encoded = sentencepiece_viterbi.encode_pieces(docs).collect()
+    assert ordered((r.doc_id, list(r.ids)) for r in encoded) == ordered((i, _piece().encode(t or "")) for i, t in REPEATED)
+    pieces = packing.query(docs).collect()
+    tokens = [(i, len(_byte().encode(t or "", add_special_tokens=False).ids) + 1) for i, t in REPEATED]
+    assert ordered((r.doc_id, r.doc_tokens) for r in pieces if not r.start) == ordered(tokens)
+    assert sum(r.length for r in pieces) == sum(n for _, n in tokens)
+
+
 def test_hilbert_neighbours_are_one_step_apart():
     for dims, bits in ((2, 4), (3, 3)):
         side = 1 << bits
@@ -131,3 +152,10 @@ def test_words_that_cannot_be_told_apart_are_encoded_with_their_text():
     for text in ("some words of a text", "one", "a b\nc d"):
         assert np.frombuffer(encoder.ids(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
     assert not encoder._known
+
+
+def test_decoding_of_nothing_marks_and_broken_bytes(spark):
+    given = [None, [], _piece().encode("a▁b"), _piece().encode("é漢")[:-1]]
+    rows = spark.createDataFrame(list(enumerate(given)), "n int, ids array<int>")
+    got = [r.text for r in rows.select("n", sentencepiece_viterbi.decode_pieces()("ids").alias("text")).orderBy("n").collect()]
+    assert got[:3] == ["", "", "a b"] and got[3].startswith("é")

@@ -48,6 +48,14 @@ def test_rules(spark):
     assert got[0][:2] == ("a.example.org", "/es/1") and got[6][:2] == got[7][:2] == ("", "")
 
 
+def test_of_rules_of_equal_length_an_allow_goes_first(spark):
+    block, allow = ("block", "org", "/abc"), ("allow", "x.org", "/a")  # seven characters each
+    rows = [("http://x.org/abc", None), ("http://y.org/abcd", None), ("http://x.org/ax", None), ("http://org/ab", None)]
+    for rules in ([block, allow], [allow, block]):
+        got = judge(spark, rows, rules=rules)
+        assert [got[i][2:] for i in range(4)] == [("x.org/a", "allow"), ("org/abc", "block"), ("x.org/a", "allow"), (None, "allow")]
+
+
 def test_blocks_reach_aliases_and_allow_goes_first(spark):
     got = judge(
         spark,
