@@ -214,3 +214,18 @@ def test_conjunctions_follow_the_rarest_must(spark, questions):
     counts = {r["query_ord"]: r["count"] for r in rows.groupBy("query_ord").count().collect()}
     every = {r["query_ord"]: r["count"] for r in matching.match(terms, built.postings["question"], False).groupBy("query_ord").count().collect()}
     assert counts == {0: 3, 1: 40 + 40 + 20, 2: 41} and every == {0: 401, 1: 340, 2: 41}
+
+
+def test_postings_are_made_inside_a_document(spark, questions):
+    bodies = ["sugar free sugar", "", None, "the of and", "b a b a b", "x1 " * 300 + "free"]
+    built = build_index(questions(*((str(i), "t", body) for i, body in enumerate(bodies))), fields=("question",))
+    rows = built.postings["question"]
+    assert "Aggregate" not in rows._jdf.queryExecution().toString()
+    expected = {}
+    for n, body in enumerate(bodies):
+        kept = [(i, w) for i, w in enumerate((body or "").split()) if w not in ("the", "of", "and", "a")]
+        for i, word in kept:
+            expected.setdefault((word, n, len(kept)), []).append(i)
+    got = {(r["term"], r["ord"], r["dl"]): (r["tf"], r["positions"]) for r in rows.collect()}
+    assert rows.count() == len(expected) and got == {key: (len(at), at) for key, at in expected.items()}
+    assert rows.select("tf").groupBy().sum().first()[0] == sum(map(len, expected.values()))
