@@ -3,8 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from rankwell import adhoc_query, build_index, search, search_text, with_stats
+from rankwell import SynonymRules, adhoc_query, build_index, score, search, search_text, with_stats
 from rankwell.functions.scoring import length_norm, resolve_similarity
+from rankwell.operators import matching
 
 DOCS = [
     (101, "ice", "Sugar free ice cream is not free of carbs."),
@@ -229,3 +230,20 @@ def test_postings_are_made_inside_a_document(spark, questions):
     got = {(r["term"], r["ord"], r["dl"]): (r["tf"], r["positions"]) for r in rows.collect()}
     assert rows.count() == len(expected) and got == {key: (len(at), at) for key, at in expected.items()}
     assert rows.select("tf").groupBy().sum().first()[0] == sum(map(len, expected.values()))
+
+
+def test_sums_of_a_lazy_index_stay_with_the_document(spark, questions, monkeypatch):
+    docs = questions(*((str(i), "t", f"sugar w{i % 3} free sweet cane w{i % 5}") for i in range(30)))
+    asked = questions(("q", "t", "sugar w1 free"), ("r", "t", "w2 sweet-w4"))
+    rules = SynonymRules.of(spark.createDataFrame([(["sugar"], ["sugar"]), (["sugar"], ["sweet", "cane"]), (["w1"], ["w1"]), (["w1"], ["w2"])], "input array<string>, output array<string>"))
+    built = build_index(docs, rules, ("question",))
+    found = score(asked, built, 0, synonyms=rules).rows
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(ord" in plan and "hashpartitioning(query_ord#" not in plan.split("BroadcastExchange")[0]
+    monkeypatch.setattr(matching, "MATCHES_PER_TASK", 10)
+    many = score(asked, built, 0, synonyms=rules).rows
+    assert many.rdd.getNumPartitions() > 10
+    monkeypatch.setattr(matching, "MOST_SLOTS", 0)
+    grouped = score(asked, built, 0, synonyms=rules).rows
+    rows = lambda df: sorted((r["query_ord"], r["ord"], round(r["score"], 9)) for r in df.collect())
+    assert rows(found) and rows(found) == rows(many) == rows(grouped)
