@@ -178,3 +178,12 @@ def test_ranges_of_terms(spark):
     rows = spark.createDataFrame([(t,) for t in ("a", "b", "ba", "m", "n", "x", "zz", "")], "term string")
     got = {r["term"]: r["n"] for r in rows.select("term", index_store.term_range(F.col("term"), firsts).alias("n")).collect()}
     assert got == {"a": 0, "b": 1, "ba": 2, "m": 3, "n": 3, "x": 4, "zz": 4, "": 0}
+
+
+def test_buckets_follow_the_text(spark, tmp_path):
+    mega = spark.range(0, 140, numPartitions=8).select(F.col("id").cast("string"), F.lit("t").alias("topic"), F.concat(F.lit("sugar"), F.expr("repeat(' ', 1 << 20)")).alias("body"), F.col("id").alias("ord"))
+    path = str(tmp_path / "index")
+    write_index(mega, path, fields=("question",))
+    assert index_store._published(spark, path)[0]["buckets"] == 5  # 140 MB, not the 4 of the cores
+    assert index_count(read_index(spark, path)).first()["documents"] == 140
+    assert search_text("sugar", read_index(spark, path)).first()["total_hits"] == 140
