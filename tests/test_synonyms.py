@@ -130,3 +130,36 @@ def test_the_file_is_read_once(spark, tmp_path, capsys):
     (tmp_path / "wn.pl").write_text(WORDNET)
     read_synonyms(spark, str(tmp_path)).explain()
     assert "FileScan text" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("longest_out", [1, 3])
+def test_small_rules_in_small_pieces_against_brute_force(spark, monkeypatch, longest_out):
+    """Rows, batches and merged outputs of more than a task takes at once; several groups to an input."""
+    from rankwell.operators import phrases
+
+    monkeypatch.setattr(phrases, "WORDS_AT_ONCE", 11)
+    monkeypatch.setattr(phrases, "TOKENS_AT_ONCE", 7)
+    monkeypatch.setattr(phrases, "KEPT_OUTPUTS", 5)
+    dice = random.Random(longest_out)
+    phrase = lambda most: tuple(dice.choice(["a", "b", "ç", "日本"]) for _ in range(dice.randint(1, most)))
+    synsets = [{phrase(longest_out) for _ in range(dice.randint(1, 4))} for _ in range(9)]
+    rows = [("f", run, list(words)) for run, members in enumerate(synsets) for words in members]
+    star = SynonymRules.of_synsets(spark.createDataFrame(rows, "file string, run long, words array<string>"))
+    assert star.small
+    rules = {}
+    for members in (m for m in synsets if len(m) > 1):
+        for words in members:
+            rules[words] = rules.get(words, set()) | members
+    docs = [(n, [dice.choice(["a", "b", "ç", "日本", "x"]) for _ in range(dice.choice([0, 1, 5, 40]))]) for n in range(80)] + [(80, None)]
+    texts = spark.createDataFrame(docs, "ord long, words array<string>")
+    found = {r["ord"]: [tuple(t) for t in r["tokens"]] for r in expand_synonyms(texts, "words", star, ["ord"]).collect()}
+    assert found == {n: _greedy(words or [], rules) for n, words in docs}
+
+
+def test_small_rules_join_and_group_nothing(questions, rules, capsys):
+    """The text is shuffled once, by document, and each text is cut into words once."""
+    index = build_index(questions(("1", "", "Blood Sugar after infarct today")), rules, ("question",))
+    index.postings["question"].explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+    assert plan.count("regexp_extract_all") == 1
