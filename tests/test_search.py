@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,3 +248,44 @@ def test_sums_of_a_lazy_index_stay_with_the_document(spark, questions, monkeypat
     grouped = score(asked, built, 0, synonyms=rules).rows
     rows = lambda df: sorted((r["query_ord"], r["ord"], round(r["score"], 9)) for r in df.collect())
     assert rows(found) and rows(found) == rows(many) == rows(grouped)
+
+
+@pytest.mark.parametrize("sim,sizes", [(0, (1 << 20, 4)), (0, (3, 0)), (4, (3, 0))])
+def test_sums_of_whole_documents_equal_joins(spark, questions, monkeypatch, sim, sizes):
+    """Clauses with operators, alternatives and many words to a chunk; documents in one step and in many, dense and sparse."""
+    import random
+
+    from rankwell.operators import sums
+    from rankwell.operators.matching import score_clauses, score_terms
+    from rankwell.plans.search import clause_terms
+
+    monkeypatch.setattr(sums, "MATCHES_AT_ONCE", sizes[0])
+    monkeypatch.setattr(sums, "SPARSE", sizes[1])
+    dice = random.Random(sim)
+    words = [f"w{i}" for i in range(12)]
+    text = lambda glue, n: "".join(dice.choice(words) + dice.choice(glue) for _ in range(n)) + "w0"
+    index = build_index(questions(*((str(i), "", text([" "], dice.randrange(12))) for i in range(40))), fields=("question",))
+    queries = questions(*((str(i), "", text([" ", "-", "/", " AND ", " NOT "], 6)) for i in range(15)), ("nothing", "", "none"))
+    rules = SynonymRules.of(spark.createDataFrame([(["w1"], [o]) for o in ("w1", "w2", "other")] + [(["w3"], ["w4", "w5"])], "input array<string>, output array<string>"))
+    terms = clause_terms(queries, "synonym", rules).localCheckpoint()
+    spread = index.postings["question"].repartition(3, "ord").localCheckpoint()
+    found = {}
+    for together in (False, True):
+        plain = terms.groupBy("query_ord", "term").agg(F.count(F.lit(1)).alias("qtf")) if sim else None
+        for kind, rows in (("clauses", terms), ("plain", plain)):
+            if rows is None:  # tf-idf of several words to a chunk has no plain form
+                rows = terms.filter("pos = 0").select("query_ord", "term").distinct().withColumn("qtf", F.lit(2))
+            weighted = with_stats(rows.withColumn("field", F.lit("question")), index.term_stats["question"], index.collection_stats, True)
+            scored = (score_clauses if kind == "clauses" else score_terms)(weighted, spread, sim, True, together=together)
+            found[kind, together] = {(r["query_ord"], r["ord"]): r["score"] for r in scored.collect()}
+    for kind in ("clauses", "plain"):
+        assert found[kind, True] == pytest.approx(found[kind, False], abs=1e-9) and found[kind, True]
+
+
+def test_a_lazy_index_scores_a_posting_once(questions, index, capsys):
+    """However many queries ask for a word: nothing is joined or grouped for each of them."""
+    queries = questions(*((str(i), "", "sugar free ice-cream") for i in range(5)))
+    for sim in (0, 1):
+        score(queries, index, sim).rows.explain()
+        plan = capsys.readouterr().out
+        assert "MapInArrow" in plan and not re.search(r"keys=\[[^\]]*\bord#", plan)
